@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The pipeline this package rebuilds reads whole files in batch; it has no stream
+source, watermark, windowed state or late-data rule to match. Two of its
+feature families (range counts looking forward, forward gaps) also need future
+clicks, which a stream could only emit after the window closes. Nothing here
+until such a use appears.
+"""
