@@ -7,9 +7,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..schema import ID_COLUMNS, LABEL, SECONDS, TIME, count_name, unique_count_name
+from ..schema import ID_COLUMNS, LABEL, SECONDS, TIME, canonical, count_name, unique_count_name
 from .combos import normalise_combos
-from .keyed import KeyedFeature, add_keyed_features, null_key_guard
+from .keyed import KeyedFeature, WindowPlan, add_keyed_features, flag_name, null_key_guard
 from .skew import KeyProfile, maybe_broadcast
 
 
@@ -20,17 +20,17 @@ def group_count_features(combos, *, dtype: str = "int") -> list[KeyedFeature]:
 def _count_feature(combo, dtype) -> KeyedFeature:
     name = count_name(combo)
 
-    def window_columns():
+    def window_plan():
         w = Window.partitionBy(*combo)
-        return [], [(name, null_key_guard(combo, F.count(F.lit(1)).over(w)).cast(dtype))]
+        return WindowPlan(plain=[(name, null_key_guard(combo, F.count(F.lit(1)).over(w)).cast(dtype))])
 
-    def apply_second(df: DataFrame, profile: KeyProfile) -> DataFrame:
+    def apply_second(df: DataFrame, base: DataFrame, profile: KeyProfile) -> DataFrame:
         tmp = "__c_" + "_".join(combo)
-        stats = df.groupBy(*combo).agg(F.count(F.lit(1)).alias(tmp))
+        stats = base.groupBy(*combo).agg(F.count(F.lit(1)).alias(tmp))
         joined = df.join(maybe_broadcast(stats, profile, combo, False), on=list(combo), how="left")
         return joined.select(*df.columns, F.col(tmp).cast(dtype).alias(name))
 
-    return KeyedFeature(combo, (name,), window_columns, apply_second)
+    return KeyedFeature(combo, (name,), window_plan, apply_second, group_stat=True)
 
 
 def group_click_count(df: DataFrame, combos, *, profile: KeyProfile | None = None, dtype: str = "int") -> DataFrame:
@@ -58,26 +58,26 @@ def _unique_feature(combo, objs, dtype) -> KeyedFeature:
     names = tuple(unique_count_name(x, combo) for x in objs)
     tag = "__u_" + "_".join(combo)
 
-    def window_columns():
-        # distinct values of x in the group = the largest dense rank of x in it
-        # (nulls ranked last and masked, so they are not counted)
-        stage1, stage2 = [], []
+    def window_plan():
+        # distinct values of x in group K = number of (K, x) groups starting in it:
+        # the sum over K of the "first row of (K, x)" flag, on rows where x is not null.
+        # The flag of (K, x) shares the sort of that key set's own features.
         whole = Window.partitionBy(*combo)
+        plain, flags = [], []
         for x, n in zip(objs, names):
-            rank = f"{tag}_{x}"
-            w = Window.partitionBy(*combo).orderBy(F.col(x).asc_nulls_last())
-            stage1.append((rank, F.when(F.col(x).isNotNull(), F.dense_rank().over(w))))
-            value = F.coalesce(F.max(rank).over(whole), F.lit(0))
-            stage2.append((n, null_key_guard(combo, value).cast(dtype)))
-        return stage1, stage2
-
-    def apply_second(df: DataFrame, profile: KeyProfile) -> DataFrame:
+            ks = canonical((*combo, x))
+            flags.append(ks)
+            firsts = F.when(F.col(x).isNotNull(), F.col(flag_name(ks))).otherwise(F.lit(0))
+            plain.append((n, null_key_guard(combo, F.sum(firsts).over(whole)).cast(dtype)))
+        return WindowPlan(plain=plain, flags=flags)
+
+    def apply_second(df: DataFrame, base: DataFrame, profile: KeyProfile) -> DataFrame:
         aggs = [F.count_distinct(x).alias(f"{tag}_{x}") for x in objs]
-        stats = df.groupBy(*combo).agg(*aggs)
+        stats = base.groupBy(*combo).agg(*aggs)
         joined = df.join(maybe_broadcast(stats, profile, combo, False), on=list(combo), how="left")
         return joined.select(*df.columns, *[F.col(f"{tag}_{x}").cast(dtype).alias(n) for x, n in zip(objs, names)])
 
-    return KeyedFeature(combo, names, window_columns, apply_second)
+    return KeyedFeature(combo, names, window_plan, apply_second, group_stat=True)
 
 
 def unique_counts(df: DataFrame, combos, objective: Sequence[str] = ID_COLUMNS, *,

@@ -3,33 +3,67 @@
 A family (gaps, range counts, group counts, unique counts) describes each
 combination's output twice, once per physical plan of ``skew.py``:
 
-* ``window_columns()`` - window expressions over the rows, valid on rows that
-  are hash-partitioned by any key of the combination;
-* ``apply_second(df)`` - the reduced (keys, second) or (keys) table joined back.
+* ``window`` - window expressions over the rows, valid on rows that are
+  hash-partitioned by any key of the combination. They come in three kinds by
+  the order they need: ``ordered`` (time, row id), ``ranged`` (time) and
+  ``plain`` (none), plus ``flags``: key sets whose "first row of the group"
+  marker the expressions read (unique counts);
+* ``apply_second(df, base)`` - the reduced (keys, second) or (keys) table, built
+  from the input rows ``base`` (never from the growing ``df``, so each join adds
+  one small subtree to the plan), joined back onto ``df``.
 
-``add_keyed_features`` then lays out one plan for any mix of families: the
+A per-group statistic whose (keys) table has a proven row bound under the
+broadcast limit skips the windows: hash aggregate, broadcast hash join, no
+sort and no shuffle of the rows.
+
+``add_keyed_features`` lays out one plan for any mix of families: the
 combinations that must go the reduced way first (their joins carry the fewest
 columns), then one repartition per root with every window of every family on
 it, so a root costs one exchange no matter how many features hang off it.
+Inside a root the key sets are visited largest first and each key set's
+windows go into one projection, so they share the sorts on (keys, ...):
+about one sort per key set.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..schema import ROW_ID
 from .skew import KeyProfile, profile_keys
 
 
+
+@dataclass
+class WindowPlan:
+    ordered: list[tuple[str, Column]] = field(default_factory=list)
+    ranged: list[tuple[str, Column]] = field(default_factory=list)
+    plain: list[tuple[str, Column]] = field(default_factory=list)
+    flags: list[tuple[str, ...]] = field(default_factory=list)
+
+
 @dataclass
 class KeyedFeature:
     combo: tuple[str, ...]
     names: tuple[str, ...]
-    # stage-1 window columns (temporaries named "__..."), then stage-2 output columns
-    window_columns: Callable[[], tuple[list[tuple[str, Column]], list[tuple[str, Column]]]]
-    apply_second: Callable[[DataFrame, KeyProfile], DataFrame]
+    window_plan: Callable[[], WindowPlan]
+    apply_second: Callable[[DataFrame, DataFrame, KeyProfile], DataFrame]
+    # per-group statistics (counts, distinct counts) need no order: when their
+    # table has a proven small bound, hash aggregate + broadcast join beats sorting
+    group_stat: bool = False
+
+
+def flag_name(keys: Sequence[str]) -> str:
+    return "__first_" + "_".join(keys)
+
+
+def first_row_flag(keys: Sequence[str], order_col: str = ROW_ID) -> Column:
+    """1 on the first row (lowest row id) of each group of ``keys``, else 0."""
+    w = Window.partitionBy(*keys)
+    return F.when(F.min(order_col).over(w) == F.col(order_col), F.lit(1)).otherwise(F.lit(0))
 
 
 def null_key_guard(keys: Sequence[str], value: Column) -> Column:
@@ -41,6 +75,33 @@ def null_key_guard(keys: Sequence[str], value: Column) -> Column:
     return F.when(cond, F.lit(None)).otherwise(value)
 
 
+def _window_root(out: DataFrame, root: str, group: Sequence[KeyedFeature]) -> DataFrame:
+    plans = {}
+    for f in group:
+        plans.setdefault(f.combo, []).append(f.window_plan())
+    keysets = set(plans)
+    for ps in plans.values():
+        for p in ps:
+            keysets.update(tuple(s) for s in p.flags)
+    flags_needed = {tuple(s) for ps in plans.values() for p in ps for s in p.flags}
+    # an explicit count keeps AQE from folding a small input into one task: the
+    # windows below are the expensive part and need the parallelism
+    n = int(out.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    out = out.repartition(n, F.col(root))
+    # largest key sets first: a unique count of K reads flags of K + one key
+    for ks in sorted(keysets, key=lambda t: (-len(t), t)):
+        ps = plans.get(ks, [])
+        ordered = [c.alias(n) for p in ps for n, c in p.ordered]
+        ranged = [c.alias(n) for p in ps for n, c in p.ranged]
+        plain = [c.alias(n) for p in ps for n, c in p.plain]
+        if ks in flags_needed:
+            plain.insert(0, first_row_flag(ks).alias(flag_name(ks)))
+        cols = ordered + ranged + plain
+        if cols:
+            out = out.select("*", *cols)
+    return out.drop(*[flag_name(s) for s in flags_needed])
+
+
 def add_keyed_features(df: DataFrame, features: Sequence[KeyedFeature], profile: KeyProfile | None = None,
                        time_col: str | None = None) -> DataFrame:
     """Add every feature's columns to ``df`` (rows and input columns unchanged)."""
@@ -61,23 +122,15 @@ def add_keyed_features(df: DataFrame, features: Sequence[KeyedFeature], profile:
     second: list[KeyedFeature] = []
     for f in features:
         root = profile.root_for(f.combo)
-        if root is None:
+        if root is None or (f.group_stat and profile.can_broadcast(f.combo)):
             second.append(f)
         else:
             rooted.setdefault(root, []).append(f)
 
     out = df
     for f in second:
-        out = f.apply_second(out, profile)
+        out = f.apply_second(out, df, profile)
     # roots with the fewest outputs first: later shuffles carry the fewest columns
     for root in sorted(rooted, key=lambda r: sum(len(f.names) for f in rooted[r])):
-        out = out.repartition(F.col(root))
-        stage1, stage2 = [], []
-        for f in rooted[root]:
-            s1, s2 = f.window_columns()
-            stage1.extend(s1)
-            stage2.extend(s2)
-        if stage1:
-            out = out.select("*", *[c.alias(n) for n, c in stage1])
-        out = out.select(*[c for c in out.columns if not c.startswith("__")], *[c.alias(n) for n, c in stage2])
+        out = _window_root(out, root, rooted[root])
     return out.select(*base_cols, *names)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..schema import SECONDS, as_keys, range_count_name
 from .combos import normalise_combos
-from .keyed import KeyedFeature, add_keyed_features, null_key_guard
+from .keyed import KeyedFeature, WindowPlan, add_keyed_features, null_key_guard
 from .skew import KeyProfile, maybe_broadcast
 
 
@@ -31,22 +31,22 @@ def range_count_features(combos, back: int, fwd: int, *, time_col: str = SECONDS
 def _range_feature(combo, back, fwd, time_col, dtype) -> KeyedFeature:
     name = range_count_name(combo, back, fwd)
 
-    def window_columns():
+    def window_plan():
         w = Window.partitionBy(*combo).orderBy(time_col).rangeBetween(back, fwd)
-        return [], [(name, null_key_guard(combo, F.count(F.lit(1)).over(w)).cast(dtype))]
+        return WindowPlan(ranged=[(name, null_key_guard(combo, F.count(F.lit(1)).over(w)).cast(dtype))])
 
-    def apply_second(df: DataFrame, profile: KeyProfile) -> DataFrame:
+    def apply_second(df: DataFrame, base: DataFrame, profile: KeyProfile) -> DataFrame:
         # clicks per (keys, second) first; a sum over the same range frame of that
         # table is exact because all clicks of one second share their result
         tag = "__r_" + "_".join(combo) + f"_{-back}_{fwd}"
         n, total = tag + "_n", tag + "_total"
         w = Window.partitionBy(*combo).orderBy(time_col).rangeBetween(back, fwd)
-        per_second = (df.groupBy(*combo, time_col).agg(F.count(F.lit(1)).alias(n))
+        per_second = (base.groupBy(*combo, time_col).agg(F.count(F.lit(1)).alias(n))
                       .select(*combo, time_col, F.sum(n).over(w).alias(total)))
         joined = df.join(maybe_broadcast(per_second, profile, combo, True), on=[*combo, time_col], how="left")
         return joined.select(*df.columns, F.col(total).cast(dtype).alias(name))
 
-    return KeyedFeature(combo, (name,), window_columns, apply_second)
+    return KeyedFeature(combo, (name,), window_plan, apply_second)
 
 
 def count_in_range(df: DataFrame, combos, back: int, fwd: int, *, time_col: str = SECONDS,

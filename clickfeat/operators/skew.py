@@ -51,20 +51,28 @@ class KeyProfile:
         return int(self.max_second) - int(self.min_second) + 1
 
     def good_root(self, key: str) -> bool:
+        """A key may root the window plan when none of its values holds more than
+        ``hot_rows`` rows and it has enough values to keep the tasks busy (the
+        second test is moot when the whole input is under the hot bound)."""
         if key not in self.max_group:
             return False
-        return self.max_group[key] <= self.hot_rows and self.distinct[key] >= self.min_root_distinct
+        if self.max_group[key] > self.hot_rows:
+            return False
+        return self.total_rows <= self.hot_rows or self.distinct[key] >= self.min_root_distinct
 
     def root_for(self, combo: tuple[str, ...]) -> str | None:
-        """Root key for the window plan, or None when the combination needs the second plan."""
+        """Root key for the window plan, or None when the combination needs the second plan.
+        Among the good keys of the combination the one with most values wins
+        (parallelism), ties by the fixed key order."""
         if self.forced == "second":
             return None
         if self.forced == "window":
             return combo[0]
-        for k in ID_COLUMNS + tuple(c for c in combo if c not in ID_COLUMNS):
-            if k in combo and self.good_root(k):
-                return k
-        return None
+        order = {k: i for i, k in enumerate(ID_COLUMNS)}
+        good = [k for k in combo if self.good_root(k)]
+        if not good:
+            return None
+        return min(good, key=lambda k: (-self.distinct[k], order.get(k, len(order))))
 
     def group_bound(self, combo: tuple[str, ...], with_seconds: bool = False) -> int:
         """Proven upper bound on the number of distinct groups of ``combo``."""

@@ -21,7 +21,7 @@ from ..schema import (CLICK_ID, DATE_TIME_PARTS, ID_COLUMNS, LABEL, ROW_ID, SECO
 from ..session import ensure_checkpoint_dir
 from ..sources.clicks import (read_clicks_test, read_clicks_train, read_events_clicks, snapshot, supplement_clicks,
                               test_clicks, train_clicks, write_clicks_csv)
-from .features import FAMILIES, feature_manifest, feature_table, manifest_names, read_features, write_features
+from .features import FAMILIES, build_features, feature_manifest, feature_table, manifest_names, read_features
 
 ALL = feature_combinations(ID_COLUMNS)
 WITH_IP = feature_combinations(ID_COLUMNS, include=["ip"])
@@ -224,7 +224,7 @@ def _written_features(spark, inp: Inputs) -> tuple[DataFrame, list[str]]:
     """Feature table written per family to the shared scratch folder and read back."""
     names = manifest_names()
     path = scratch_dir(spark, "features")
-    write_features(feature_table(inp.union), path)
+    build_features(inp.union, path)
     feats = read_features(spark, path, names)
     require_features(feats, names)
     return feats, names
