@@ -122,12 +122,13 @@ def profile_keys(df: DataFrame, keys=ID_COLUMNS, time_col: str = SECONDS, *,
         min_root_distinct=min_root_distinct, forced=forced)
 
 
-def forced_profile(plan: str, broadcast_rows: int = 0) -> KeyProfile:
-    """A profile that skips the statistics job and forces one plan (tests, benchmarks)."""
+def forced_profile(plan: str, broadcast: bool = False) -> KeyProfile:
+    """A profile that skips the statistics job and forces one plan (tests,
+    benchmarks); ``broadcast`` declares every reduced table small."""
     if plan not in ("window", "second"):
         raise ValueError("plan must be 'window' or 'second'")
-    return KeyProfile(total_rows=1 << 62, distinct={}, max_group={}, min_second=None, max_second=None,
-                      broadcast_rows=broadcast_rows, forced=plan)
+    return KeyProfile(total_rows=1 if broadcast else 1 << 62, distinct={}, max_group={}, min_second=None,
+                      max_second=None, forced=plan)
 
 
 def group_by_root(combos, profile: KeyProfile):
