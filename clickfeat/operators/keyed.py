@@ -88,15 +88,16 @@ def _window_root(out: DataFrame, root: str, group: Sequence[KeyedFeature]) -> Da
     # windows below are the expensive part and need the parallelism
     n = int(out.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     out = out.repartition(n, F.col(root))
-    # largest key sets first: a unique count of K reads flags of K + one key
+    # largest key sets first: a unique count of K reads flags of K + one key.
+    # One projection per key set: its windows share that key set's sort (one
+    # projection holding many window specs is slower to plan and to run)
     for ks in sorted(keysets, key=lambda t: (-len(t), t)):
         ps = plans.get(ks, [])
-        ordered = [c.alias(n) for p in ps for n, c in p.ordered]
-        ranged = [c.alias(n) for p in ps for n, c in p.ranged]
-        plain = [c.alias(n) for p in ps for n, c in p.plain]
+        cols = [c.alias(n) for p in ps for n, c in p.ordered]
+        cols += [c.alias(n) for p in ps for n, c in p.ranged]
         if ks in flags_needed:
-            plain.insert(0, first_row_flag(ks).alias(flag_name(ks)))
-        cols = ordered + ranged + plain
+            cols.append(first_row_flag(ks).alias(flag_name(ks)))
+        cols += [c.alias(n) for p in ps for n, c in p.plain]
         if cols:
             out = out.select("*", *cols)
     return out.drop(*[flag_name(s) for s in flags_needed])

@@ -19,8 +19,8 @@ from ..operators.ranges import count_in_range, count_in_range_for
 from ..operators.testmap import map_test_ids, test_feature_set
 from ..schema import (CLICK_ID, DATE_TIME_PARTS, ID_COLUMNS, LABEL, ROW_ID, SECONDS, SPLIT, TIME)
 from ..session import ensure_checkpoint_dir
-from ..sources.clicks import (read_clicks_test, read_clicks_train, read_events_clicks, snapshot, supplement_clicks,
-                              test_clicks, train_clicks, write_clicks_csv)
+from ..sources.clicks import (SUPPLEMENT_START, TRAIN_END, read_clicks_test, read_clicks_train, read_events_clicks,
+                              snapshot, supplement_clicks, test_clicks, train_clicks, write_clicks_csv)
 from .features import FAMILIES, build_features, feature_manifest, feature_table, manifest_names, read_features
 
 ALL = feature_combinations(ID_COLUMNS)
@@ -57,8 +57,8 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.clicks = read_events_clicks(spark, sf_dir)
-        self.train = train_clicks(self.clicks).drop(CLICK_ID)
-        self.supplement = supplement_clicks(self.clicks)
+        self.train = train_clicks(read_events_clicks(spark, sf_dir, ts_before=TRAIN_END)).drop(CLICK_ID)
+        self.supplement = supplement_clicks(read_events_clicks(spark, sf_dir, ts_from=SUPPLEMENT_START))
         self._partial = None
         self._union = None
 

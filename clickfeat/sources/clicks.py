@@ -80,8 +80,17 @@ def clicks_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def read_events_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clicks_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+def read_events_clicks(spark: SparkSession, sf_dir: str, ts_from: str | None = None,
+                       ts_before: str | None = None) -> DataFrame:
+    """The clicks view of ``events``; optional whole-second bounds on the raw ``ts``
+    (truncating to the second keeps both comparisons exact) reach the Parquet scan,
+    so row groups outside the time slice are skipped."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if ts_from is not None:
+        events = events.filter(F.col("ts") >= F.to_timestamp_ntz(F.lit(ts_from)))
+    if ts_before is not None:
+        events = events.filter(F.col("ts") < F.to_timestamp_ntz(F.lit(ts_before)))
+    return clicks_from_events(events)
 
 
 def train_clicks(clicks: DataFrame, end: str = TRAIN_END) -> DataFrame:
