@@ -30,7 +30,7 @@ def _count_feature(combo, dtype) -> KeyedFeature:
         joined = df.join(maybe_broadcast(stats, profile, combo, False), on=list(combo), how="left")
         return joined.select(*df.columns, F.col(tmp).cast(dtype).alias(name))
 
-    return KeyedFeature(combo, (name,), window_plan, apply_second, group_stat=True)
+    return KeyedFeature(combo, (name,), window_plan, apply_second, stat=("count",))
 
 
 def group_click_count(df: DataFrame, combos, *, profile: KeyProfile | None = None, dtype: str = "int") -> DataFrame:
@@ -77,7 +77,7 @@ def _unique_feature(combo, objs, dtype) -> KeyedFeature:
         joined = df.join(maybe_broadcast(stats, profile, combo, False), on=list(combo), how="left")
         return joined.select(*df.columns, *[F.col(f"{tag}_{x}").cast(dtype).alias(n) for x, n in zip(objs, names)])
 
-    return KeyedFeature(combo, names, window_plan, apply_second, group_stat=True)
+    return KeyedFeature(combo, names, window_plan, apply_second, stat=("unique", objs))
 
 
 def unique_counts(df: DataFrame, combos, objective: Sequence[str] = ID_COLUMNS, *,

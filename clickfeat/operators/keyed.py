@@ -52,8 +52,13 @@ class KeyedFeature:
     window_plan: Callable[[], WindowPlan]
     apply_second: Callable[[DataFrame, DataFrame, KeyProfile], DataFrame]
     # per-group statistics (counts, distinct counts) need no order: when their
-    # table has a proven small bound, hash aggregate + broadcast join beats sorting
-    group_stat: bool = False
+    # table has a proven small bound, hash aggregate + broadcast join beats sorting.
+    # ("count",) or ("unique", objectives); None for windowed families
+    stat: tuple | None = None
+
+    @property
+    def group_stat(self) -> bool:
+        return self.stat is not None
 
 
 def flag_name(keys: Sequence[str]) -> str:
@@ -121,15 +126,22 @@ def add_keyed_features(df: DataFrame, features: Sequence[KeyedFeature], profile:
 
     rooted: dict[str, list[KeyedFeature]] = {}
     second: list[KeyedFeature] = []
+    small_stats: list[KeyedFeature] = []
     for f in features:
         root = profile.root_for(f.combo)
-        if root is None or (f.group_stat and profile.can_broadcast(f.combo)):
+        if f.group_stat and profile.can_broadcast(f.combo):
+            small_stats.append(f)
+        elif root is None:
             second.append(f)
         else:
             rooted.setdefault(root, []).append(f)
 
+    if len(small_stats) + len(second) > 1 or ((small_stats or second) and rooted):
+        # the input feeds several aggregates and the main chain: write it once to
+        # the reliable checkpoint folder instead of recomputing its source per use
+        df = df.checkpoint(eager=True)
     out = df
-    for f in second:
+    for f in small_stats + second:
         out = f.apply_second(out, df, profile)
     # roots with the fewest outputs first: later shuffles carry the fewest columns
     for root in sorted(rooted, key=lambda r: sum(len(f.names) for f in rooted[r])):
