@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..schema import ID_COLUMNS, SECONDS
 
@@ -97,10 +97,13 @@ def profile_keys(df: DataFrame, keys=ID_COLUMNS, time_col: str = SECONDS, *,
     """
     keys = tuple(keys)
     spark = df.sparkSession
+    integral = all(isinstance(df.schema[k].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+                   for k in keys)
+    vtype = "long" if integral else "string"  # exact either way; long is cheaper to hash
     stacked = df.select(
         F.col(time_col).cast("long").alias("_sec"),
         F.explode(F.array(*[
-            F.struct(F.lit(k).alias("_key"), F.col(k).cast("string").alias("_val")) for k in keys
+            F.struct(F.lit(k).alias("_key"), F.col(k).cast(vtype).alias("_val")) for k in keys
         ])).alias("_kv"),
     )
     per_value = stacked.groupBy(F.col("_kv._key").alias("_key"), F.col("_kv._val").alias("_val")).agg(

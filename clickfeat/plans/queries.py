@@ -19,7 +19,7 @@ from ..operators.ranges import count_in_range, count_in_range_for
 from ..operators.testmap import map_test_ids, test_feature_set
 from ..schema import (CLICK_ID, DATE_TIME_PARTS, ID_COLUMNS, LABEL, ROW_ID, SECONDS, SPLIT, TIME)
 from ..session import ensure_checkpoint_dir
-from ..sources.clicks import (SUPPLEMENT_START, TRAIN_END, read_clicks_test, read_clicks_train, read_events_clicks,
+from ..sources.clicks import (SUPPLEMENT_START, TRAIN_END, UNION_ID_OFFSET, read_clicks_test, read_clicks_train, read_events_clicks,
                               snapshot, supplement_clicks, test_clicks, train_clicks, write_clicks_csv)
 from .features import FAMILIES, build_features, feature_manifest, feature_table, manifest_names, read_features
 
@@ -137,11 +137,15 @@ def q_time_bounds(spark, sf_dir):
 # --- keyed families ----------------------------------------------------------------
 
 def _keyed_base(spark, sf_dir):
-    return Inputs(spark, sf_dir).union.select(ROW_ID, SPLIT, *ID_COLUMNS, SECONDS)
+    # ``split`` stays out of the window chain (a string in every sort); it is a
+    # function of the row id and comes back at the end
+    return Inputs(spark, sf_dir).union.select(ROW_ID, *ID_COLUMNS, SECONDS)
 
 
 def _features_only(df: DataFrame) -> DataFrame:
-    return rounded(df.drop(*ID_COLUMNS, SECONDS))
+    split = F.when(F.col(ROW_ID) >= F.lit(UNION_ID_OFFSET), F.lit("test")).otherwise(F.lit("train"))
+    feats = [c for c in df.columns if c not in (ROW_ID, *ID_COLUMNS, SECONDS)]
+    return rounded(df.select(ROW_ID, split.alias(SPLIT), *feats))
 
 
 def q_click_gaps_forward(spark, sf_dir):
