@@ -20,6 +20,8 @@ sort and no shuffle of the rows.
 combinations that must go the reduced way first (their joins carry the fewest
 columns), then one repartition per root with every window of every family on
 it, so a root costs one exchange no matter how many features hang off it.
+With several roots each root runs on its own narrow branch of the input and the
+branches are joined back on the row id.
 Inside a root the key sets are visited largest first and each key set's
 windows go into one projection, so they share the sorts on (keys, ...):
 about one sort per key set.
@@ -136,14 +138,23 @@ def add_keyed_features(df: DataFrame, features: Sequence[KeyedFeature], profile:
         else:
             rooted.setdefault(root, []).append(f)
 
-    if len(small_stats) + len(second) > 1 or ((small_stats or second) and rooted):
-        # the input feeds several aggregates and the main chain: write it once to
-        # the reliable checkpoint folder instead of recomputing its source per use
+    # two or more roots: each root's windows run on a narrow branch of the input
+    # and the branches meet on the unique row id (one exchange per side), so a
+    # root's sorts carry only its own features instead of every earlier one
+    branch = ROW_ID in base_cols and len(rooted) >= 2
+    readers = len(small_stats) + len(second) + (len(rooted) + 1 if branch else min(1, len(rooted)))
+    if readers > 1:
+        # the input feeds several plans: write it once to the reliable checkpoint
+        # folder instead of recomputing its source for each reader
         df = df.checkpoint(eager=True)
     out = df
     for f in small_stats + second:
         out = f.apply_second(out, df, profile)
     # roots with the fewest outputs first: later shuffles carry the fewest columns
     for root in sorted(rooted, key=lambda r: sum(len(f.names) for f in rooted[r])):
-        out = _window_root(out, root, rooted[root])
+        if branch:
+            part = _window_root(df, root, rooted[root])
+            out = out.join(part.select(ROW_ID, *[n for f in rooted[root] for n in f.names]), ROW_ID)
+        else:
+            out = _window_root(out, root, rooted[root])
     return out.select(*base_cols, *names)
