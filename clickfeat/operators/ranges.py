@@ -49,10 +49,16 @@ def _range_feature(combo, back, fwd, time_col, dtype) -> KeyedFeature:
     return KeyedFeature(combo, (name,), window_plan, apply_second)
 
 
-def count_in_range(df: DataFrame, combos, back: int, fwd: int, *, time_col: str = SECONDS,
-                   profile: KeyProfile | None = None, dtype: str = "int") -> DataFrame:
+def count_in_range(df: DataFrame, combos, back: int | None = None, fwd: int | None = None, *,
+                   time_col: str = SECONDS, profile: KeyProfile | None = None, dtype: str = "int") -> DataFrame:
     """Add ``count_groupby_<keys>_in_time_range_<back>_<fwd>_seconds``: clicks of the
-    row's group with time in ``[t + back, t + fwd]``, the row and its ties included."""
+    row's group with time in ``[t + back, t + fwd]``, the row and its ties included.
+    With no range at all, the count of the whole group, ``count_groupby_<keys>`` (A2)."""
+    if back is None and fwd is None:
+        from .groups import group_click_count
+        return group_click_count(df, combos, profile=profile, dtype=dtype)
+    if back is None or fwd is None:
+        raise ValueError("give both range bounds, or neither for the whole-group count")
     feats = range_count_features(combos, back, fwd, time_col=time_col, dtype=dtype)
     return add_keyed_features(df, feats, profile, time_col)
 

@@ -4,7 +4,8 @@ Each step reads what the previous one wrote (Parquet under ``out``), so a lost
 executor or a failed step costs at most that step, and every step can be re-run
 alone:
 
-1. ``ingest``        typed CSV scan, row id fixed at ingest, epoch seconds, cut-off (S1-S3, P1, P2, P8)
+1. ``ingest``        typed CSV scan, row id fixed at ingest, epoch seconds, cut-off (S1-S3, P1, P2, P8);
+   ``dev_sample`` optionally writes seeded small copies (M1, O1)
 2. ``features``      union of train and partial supplement, all six families (U1, S4)
 3. ``folds``         balanced folds + hold-out flag, labels per fold (M1-M4, S9)
 4. ``training_sets`` folds joined once with the features, written by fold (M5-M7, J3-J5)
@@ -37,6 +38,16 @@ def ingest(spark: SparkSession, train_csv, supplement_csv, test_csv, out: str) -
     read_clicks_test(spark, test_csv).write.mode("overwrite").parquet(f"{out}/test")
 
 
+def dev_sample(spark: SparkSession, out: str, fraction: float = 0.001, seed: int = 114514) -> None:
+    """Development copies of the ingested sets: a seeded fraction of the rows,
+    kept in click-time order inside each file (M1, O1)."""
+    for name in ("train", "supplement_partial"):
+        key = ROW_ID if name == "train" else CLICK_ID
+        (fo.sample_fraction(spark.read.parquet(f"{out}/{name}"), fraction, seed, key)
+         .sortWithinPartitions("click_time", key)
+         .write.mode("overwrite").parquet(f"{out}/{name}_small"))
+
+
 def union_of(spark: SparkSession, out: str) -> DataFrame:
     return union_clicks(spark.read.parquet(f"{out}/train"), spark.read.parquet(f"{out}/supplement_partial"))
 
@@ -48,7 +59,8 @@ def features(spark: SparkSession, out: str) -> None:
 def folds(spark: SparkSession, out: str, n_folds: int = 10, valid_fraction: float = 0.15, seed: int = 1234) -> None:
     train = take_split(union_of(spark, out), "train")
     table = fo.train_valid_split(fo.balanced_folds(train, n_folds), valid_fraction, seed)
-    table.write.mode("overwrite").partitionBy("fold").parquet(f"{out}/folds")
+    # rows in id order inside each file (O2): tight Parquet statistics on row_id
+    table.sortWithinPartitions(ROW_ID).write.mode("overwrite").partitionBy("fold").parquet(f"{out}/folds")
 
 
 def training_sets(spark: SparkSession, out: str) -> None:
@@ -60,7 +72,7 @@ def training_sets(spark: SparkSession, out: str) -> None:
     check = fo.check_alignment(fold_table, rows).first()
     if check["only_left"] or check["only_right"]:
         raise RuntimeError(f"fold ids and feature rows disagree: {check.asDict()}")
-    (fo.training_set(rows, names, keys=("fold", ROW_ID, "is_valid"))
+    (fo.training_set(rows, names, keys=("fold", ROW_ID, "is_valid")).sortWithinPartitions(ROW_ID)
      .write.mode("overwrite").partitionBy("fold").parquet(f"{out}/training_sets"))
 
 

@@ -9,11 +9,15 @@ from pyspark.sql import SparkSession
 
 # Settings the feature plans rely on. Time zone UTC: click times are UTC wall
 # clock. AQE: coalesces small shuffles, splits skewed join partitions at run time.
+# Runtime bloom filters: a join of the few fold ids with the wide feature table
+# prunes the feature rows before they are shuffled.
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # small fold-id side -> bloom filter on the big feature side before its shuffle
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.ui.enabled": "false",
 }
 

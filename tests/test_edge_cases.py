@@ -85,6 +85,14 @@ def test_all_five_keys_gives_no_unique_columns(spark):
     assert out.columns == df.columns
 
 
+def test_no_range_is_group_count(spark):
+    df = _rows(spark, [(1, 7, 1, 0), (2, 7, 1, 90000), (3, 8, 1, 5)])
+    out = count_in_range(df, [("ip",)], profile=forced_profile("window"))
+    assert _get(out, "count_groupby_ip") == [2, 2, 1]
+    with pytest.raises(ValueError):
+        count_in_range(df, [("ip",)], 0, None)
+
+
 def test_bad_range():
     for back, fwd in [(1, 3600), (0, -1)]:
         with pytest.raises(ValueError):

@@ -25,6 +25,14 @@ def test_pipeline_end_to_end(spark):
     out = f"{tmp}/out"
     preds = pipeline.run_all(spark, f"{tmp}/csv/train", f"{tmp}/csv/supplement", f"{tmp}/csv/test", out,
                              n_folds=2, params=BoostParams(max_iter=3, max_depth=3))
+    pipeline.dev_sample(spark, out, fraction=0.2)
+    small = spark.read.parquet(f"{out}/train_small").count()
+    assert 0 < small < inp.train.count()
+    from clickfeat.operators.model import save_fold_dataset
+    from clickfeat.operators.prep import drop_features
+    from clickfeat.plans.features import manifest_names
+    save_fold_dataset(spark.read.parquet(f"{out}/training_sets"), drop_features(manifest_names()), f"{out}/fold_data")
+    assert spark.read.parquet(f"{out}/fold_data").count() == spark.read.parquet(f"{out}/training_sets").count()
     n_test = inp.test.count()
     assert preds.count() == n_test
     sets = spark.read.parquet(f"{out}/training_sets")
