@@ -24,7 +24,7 @@ from ..operators.prep import after_cutoff, drop_features, require_features, take
 from ..operators.testmap import map_test_ids, test_feature_set
 from ..schema import CLICK_ID, LABEL, ROW_ID, SPLIT
 from ..sources.clicks import read_clicks_test, read_clicks_train
-from .features import build_features, manifest_names, read_features
+from .features import build_features, manifest_names, read_bucketed_features, read_features, write_bucketed
 
 
 def ingest(spark: SparkSession, train_csv, supplement_csv, test_csv, out: str) -> None:
@@ -52,22 +52,32 @@ def union_of(spark: SparkSession, out: str) -> DataFrame:
     return union_clicks(spark.read.parquet(f"{out}/train"), spark.read.parquet(f"{out}/supplement_partial"))
 
 
-def features(spark: SparkSession, out: str) -> None:
-    build_features(union_of(spark, out), f"{out}/features")
+def features(spark: SparkSession, out: str, buckets: int | None = None, table_prefix: str | None = None) -> None:
+    """All families; with ``buckets`` + ``table_prefix`` as catalog tables bucketed by row id."""
+    build_features(union_of(spark, out), f"{out}/features", buckets=buckets, table_prefix=table_prefix)
 
 
-def folds(spark: SparkSession, out: str, n_folds: int = 10, valid_fraction: float = 0.15, seed: int = 1234) -> None:
+def folds(spark: SparkSession, out: str, n_folds: int = 10, valid_fraction: float = 0.15, seed: int = 1234,
+          buckets: int | None = None, table_prefix: str | None = None) -> None:
     train = take_split(union_of(spark, out), "train")
     table = fo.train_valid_split(fo.balanced_folds(train, n_folds), valid_fraction, seed)
     # rows in id order inside each file (O2): tight Parquet statistics on row_id
     table.sortWithinPartitions(ROW_ID).write.mode("overwrite").partitionBy("fold").parquet(f"{out}/folds")
+    if buckets and table_prefix:
+        write_bucketed(table, f"{table_prefix}_folds", buckets)
 
 
-def training_sets(spark: SparkSession, out: str) -> None:
+def training_sets(spark: SparkSession, out: str, table_prefix: str | None = None) -> None:
+    """Folds joined once with the features. With bucketed tables (``table_prefix``)
+    the family joins and the fold join read co-located buckets: no shuffle."""
     names = manifest_names()
-    feats = read_features(spark, f"{out}/features", names)
+    if table_prefix:
+        feats = read_bucketed_features(spark, table_prefix, names)
+        fold_table = spark.table(f"{table_prefix}_folds")
+    else:
+        feats = read_features(spark, f"{out}/features", names)
+        fold_table = spark.read.parquet(f"{out}/folds")
     require_features(feats, names)
-    fold_table = spark.read.parquet(f"{out}/folds")
     rows = fo.fold_features(fold_table, feats)
     check = fo.check_alignment(fold_table, rows).first()
     if check["only_left"] or check["only_right"]:
