@@ -1,6 +1,7 @@
 """End to end from CSV files written from the fixture: every step runs and the
 step outputs agree with the registered queries."""
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -43,3 +44,11 @@ def test_pipeline_end_to_end(spark):
     assert spark.read.parquet(f"{out}/test_set").count() == n_test
     ens = spark.read.option("header", True).csv(f"{out}/predictions/ensemble")
     assert ens.count() == n_test and ens.filter(F.col("is_attributed").isNull()).count() == 0
+    # the same training sets through tables bucketed by row id
+    before = sorted(tuple(r) for r in spark.read.parquet(f"{out}/training_sets").collect())
+    prefix = "pipe_" + uuid.uuid4().hex[:8]
+    pipeline.features(spark, out, buckets=4, table_prefix=prefix)
+    pipeline.folds(spark, out, n_folds=2, buckets=4, table_prefix=prefix)
+    pipeline.training_sets(spark, out, table_prefix=prefix)
+    after = sorted(tuple(r) for r in spark.read.parquet(f"{out}/training_sets").collect())
+    assert after == before
