@@ -35,6 +35,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import ROW_ID
+from ..session import reliable_checkpoint
 from .skew import KeyProfile, profile_keys
 
 
@@ -146,7 +147,7 @@ def add_keyed_features(df: DataFrame, features: Sequence[KeyedFeature], profile:
     if readers > 1:
         # the input feeds several plans: write it once to the reliable checkpoint
         # folder instead of recomputing its source for each reader
-        df = df.checkpoint(eager=True)
+        df = reliable_checkpoint(df)
     out = df
     for f in small_stats + second:
         out = f.apply_second(out, df, profile)

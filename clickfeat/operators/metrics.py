@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..schema import LABEL
+from ..session import reliable_checkpoint
 
 
 def auc(df: DataFrame, score_col: str, label_col: str = LABEL, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -25,8 +26,8 @@ def auc(df: DataFrame, score_col: str, label_col: str = LABEL, group_cols: Seque
     per_score = df.groupBy(*g, score_col).agg(F.sum(y).alias("__pos"), F.sum(1 - y).alias("__neg"))
     # the range bounds come from a sample, so the ranged table is written once to
     # the reliable checkpoint folder: both uses below see the same partitions
-    ranged = per_score.repartitionByRange(*[F.col(c) for c in g], F.col(score_col)).withColumn(
-        "__part", F.spark_partition_id()).checkpoint(eager=True)
+    ranged = reliable_checkpoint(per_score.repartitionByRange(*[F.col(c) for c in g], F.col(score_col))
+                                 .withColumn("__part", F.spark_partition_id()))
     part_tot = ranged.groupBy(*g, "__part").agg(F.sum("__neg").alias("__part_neg"))
     before = Window.partitionBy(*g).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1) if g else \
         Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

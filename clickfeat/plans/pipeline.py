@@ -23,6 +23,7 @@ from ..operators import model as mo
 from ..operators.prep import after_cutoff, drop_features, require_features, take_split, union_clicks
 from ..operators.testmap import map_test_ids, test_feature_set
 from ..schema import CLICK_ID, LABEL, ROW_ID, SPLIT
+from ..session import reliable_checkpoint
 from ..sources.clicks import read_clicks_test, read_clicks_train
 from .features import build_features, manifest_names, read_bucketed_features, read_features, write_bucketed
 
@@ -101,7 +102,7 @@ def models(spark: SparkSession, out: str, params: mo.BoostParams | None = None)
     fitted = mo.train_bagged_gbt(sets, names, params)
     mo.save_models(fitted, f"{out}/models")
     test = spark.read.parquet(f"{out}/test_set")
-    long = mo.predict_long(fitted, test, names).checkpoint(eager=True)
+    long = reliable_checkpoint(mo.predict_long(fitted, test, names))
     for i in fitted:
         mo.write_predictions(long.filter(F.col("fold") == i).withColumnRenamed("score", LABEL),
                              f"{out}/predictions/fold={i}")

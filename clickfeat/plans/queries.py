@@ -18,7 +18,7 @@ from ..operators.prep import after_cutoff, raw_features, require_features, take_
 from ..operators.ranges import count_in_range, count_in_range_for
 from ..operators.testmap import map_test_ids, test_feature_set
 from ..schema import (CLICK_ID, DATE_TIME_PARTS, ID_COLUMNS, LABEL, ROW_ID, SECONDS, SPLIT, TIME)
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, reliable_checkpoint
 from ..sources.clicks import (SUPPLEMENT_START, TRAIN_END, UNION_ID_OFFSET, read_clicks_test, read_clicks_train, read_events_clicks,
                               snapshot, supplement_clicks, test_clicks, train_clicks, write_clicks_csv)
 from .features import FAMILIES, build_features, feature_manifest, feature_table, manifest_names, read_features
@@ -279,7 +279,7 @@ def _model_inputs(spark, sf_dir):
     feats, names = _written_features(spark, inp)
     modelled = [n for n in names if n not in ("raw_channel", "raw_ip", "raw_device", "raw_os")]
     folds = fo.train_valid_split(_folds(inp), VALID_FRACTION, SPLIT_SEED)
-    rows = fo.fold_features(folds, feats).checkpoint(eager=True)
+    rows = reliable_checkpoint(fo.fold_features(folds, feats))
     return inp, feats, modelled, rows
 
 

@@ -66,6 +66,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def reliable_checkpoint(df):
+    """Materialise ``df`` in the reliable checkpoint folder and cut its lineage
+    (never a local checkpoint: it would not survive a lost executor)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def use_session_time_zone_utc(spark: SparkSession) -> None:
     """Pin the session time zone the feature plans assume (date parts, epochs)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
