@@ -18,7 +18,7 @@ from ..operators.prep import after_cutoff, raw_features, require_features, take_
 from ..operators.ranges import count_in_range, count_in_range_for
 from ..operators.testmap import map_test_ids, test_feature_set
 from ..schema import (CLICK_ID, DATE_TIME_PARTS, ID_COLUMNS, LABEL, ROW_ID, SECONDS, SPLIT, TIME)
-from ..session import ensure_checkpoint_dir, reliable_checkpoint
+from ..session import ensure_checkpoint_dir, reliable_checkpoint, use_session_time_zone_utc
 from ..sources.clicks import (SUPPLEMENT_START, TRAIN_END, UNION_ID_OFFSET, read_clicks_test, read_clicks_train, read_events_clicks,
                               snapshot, supplement_clicks, test_clicks, train_clicks, write_clicks_csv)
 from .features import FAMILIES, build_features, feature_manifest, feature_table, manifest_names, read_features
@@ -56,6 +56,8 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
+        # the clicks view reads wall-clock event times as UTC (FIXTURES.md B)
+        use_session_time_zone_utc(spark)
         self.clicks = read_events_clicks(spark, sf_dir)
         self.train = train_clicks(read_events_clicks(spark, sf_dir, ts_before=TRAIN_END)).drop(CLICK_ID)
         self.supplement = supplement_clicks(read_events_clicks(spark, sf_dir, ts_from=SUPPLEMENT_START))

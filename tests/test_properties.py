@@ -104,3 +104,22 @@ def test_profile(union):
     p = profile_keys(union)
     assert p.total_rows == union.count()
     assert p.distinct["device"] <= 3 and p.max_group["ip"] >= 1
+
+
+def test_auc_with_ties_and_groups_brute_force(spark):
+    rows = [("a", 0.1, 0), ("a", 0.4, 1), ("a", 0.4, 0), ("a", 0.8, 1), ("a", 0.35, 0),
+            ("b", 1.0, 1), ("b", 1.0, 0), ("b", 2.0, 1), ("b", 0.5, 0), ("b", 0.5, 1)]
+    df = spark.createDataFrame(rows, "g string, score double, is_attributed int").repartition(3)
+    got = {r.g: r.auc for r in auc(df, "score", group_cols=["g"]).collect()}
+    for g in ("a", "b"):
+        pos = [s for k, s, y in rows if k == g and y == 1]
+        neg = [s for k, s, y in rows if k == g and y == 0]
+        want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+        assert abs(got[g] - want) < 1e-12
+
+
+def test_sample_fraction_layout_independent(union):
+    a = sorted(r.row_id for r in fo.sample_fraction(union, 0.3, 7).select("row_id").collect())
+    b = sorted(r.row_id for r in fo.sample_fraction(union.repartition(5), 0.3, 7).select("row_id").collect())
+    n = union.count()
+    assert a == b and 0.2 * n < len(a) < 0.4 * n
