@@ -136,3 +136,16 @@ def test_test_id_map_duplicates_and_misses(spark):
                                  "click_id long, " + cols)
     got = {r.new_click_id: r.old_click_id for r in map_test_ids(test, supp).collect()}
     assert got == {100: 11, 101: 11, 102: None}
+
+
+@pytest.mark.parametrize("profile", PLANS, ids=IDS)
+def test_null_key_gets_null_features(spark, profile):
+    df = _rows(spark, [(1, 7, 1, 0), (2, None, 1, 10), (3, 7, 1, 20), (4, None, 1, 30)])
+    g = click_gaps(df, [("ip",)], profile=profile)
+    assert _get(g, "ip_dt_forward") == [20.0, None, None, None]
+    c = count_in_range(df, [("ip",)], 0, 3600, profile=profile)
+    assert _get(c, "count_groupby_ip_in_time_range_0_3600_seconds") == [2, None, 1, None]
+    n = group_click_count(df, [("ip",)], profile=profile)
+    assert _get(n, "count_groupby_ip") == [2, None, 2, None]
+    u = unique_counts(df, [("ip",)], ["ip", "app"], profile=profile)
+    assert _get(u, "unique_count_app_groupby_ip") == [1, None, 1, None]
