@@ -26,7 +26,9 @@ def _count_feature(combo, dtype) -> KeyedFeature:
 
     def apply_second(df: DataFrame, base: DataFrame, profile: KeyProfile) -> DataFrame:
         tmp = "__c_" + "_".join(combo)
-        stats = base.groupBy(*combo).agg(F.count(F.lit(1)).alias(tmp))
+        # ``base`` is the rows, or the tuple table whose ``__n`` counts them
+        n = F.sum("__n") if "__n" in base.columns else F.count(F.lit(1))
+        stats = base.groupBy(*combo).agg(n.alias(tmp))
         joined = df.join(maybe_broadcast(stats, profile, combo, False), on=list(combo), how="left")
         return joined.select(*df.columns, F.col(tmp).cast(dtype).alias(name))
 

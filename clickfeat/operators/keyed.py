@@ -111,6 +111,24 @@ def _window_root(out: DataFrame, root: str, group: Sequence[KeyedFeature]) -> Da
     return out.drop(*[flag_name(s) for s in flags_needed])
 
 
+TUPLE_RATIO = 0.5  # use the tuple table when distinct id tuples are at most this share of the rows
+
+
+def tuple_table(df: DataFrame, stats: Sequence[KeyedFeature], profile: KeyProfile) -> DataFrame | None:
+    """Distinct id tuples with their row count, when they are far fewer than rows.
+
+    Every count and distinct count over the id columns is a function of these
+    tuples: counts add up ``__n``, distinct counts count tuples. Reading them
+    instead of the rows pays when tuples are few (many clicks per tuple); the
+    ratio is measured (one count of the checkpointed tuple table), not assumed.
+    """
+    keys = sorted({k for f in stats for k in f.combo} | {x for f in stats if f.stat[0] == "unique" for x in f.stat[1]})
+    tuples = reliable_checkpoint(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")))
+    if tuples.count() > TUPLE_RATIO * max(1, profile.total_rows):
+        return None
+    return tuples
+
+
 def add_keyed_features(df: DataFrame, features: Sequence[KeyedFeature], profile: KeyProfile | None = None,
                        time_col: str | None = None) -> DataFrame:
     """Add every feature's columns to ``df`` (rows and input columns unchanged)."""
@@ -143,13 +161,17 @@ def add_keyed_features(df: DataFrame, features: Sequence[KeyedFeature], profile:
     # and the branches meet on the unique row id (one exchange per side), so a
     # root's sorts carry only its own features instead of every earlier one
     branch = ROW_ID in base_cols and len(rooted) >= 2
-    readers = len(small_stats) + len(second) + (len(rooted) + 1 if branch else min(1, len(rooted)))
+    # the output chain itself, every reduced/broadcast aggregate, every branch
+    readers = 1 + len(small_stats) + len(second) + (len(rooted) if branch else 0)
     if readers > 1:
         # the input feeds several plans: write it once to the reliable checkpoint
         # folder instead of recomputing its source for each reader
         df = reliable_checkpoint(df)
     out = df
-    for f in small_stats + second:
+    stats_base = tuple_table(df, small_stats, profile) if len(small_stats) > 1 else None
+    for f in small_stats:
+        out = f.apply_second(out, stats_base if stats_base is not None else df, profile)
+    for f in second:
         out = f.apply_second(out, df, profile)
     # roots with the fewest outputs first: later shuffles carry the fewest columns
     for root in sorted(rooted, key=lambda r: sum(len(f.names) for f in rooted[r])):
