@@ -115,18 +115,23 @@ TUPLE_RATIO = 0.5  # use the tuple table when distinct id tuples are at most thi
 
 
 def tuple_table(df: DataFrame, stats: Sequence[KeyedFeature], profile: KeyProfile) -> DataFrame | None:
-    """Distinct id tuples with their row count, when they are far fewer than rows.
+    """Distinct id tuples with their row count, when they are provably far fewer than rows.
 
     Every count and distinct count over the id columns is a function of these
     tuples: counts add up ``__n``, distinct counts count tuples. Reading them
-    instead of the rows pays when tuples are few (many clicks per tuple); the
-    ratio is measured (one count of the checkpointed tuple table), not assumed.
+    instead of the rows pays when tuples are few (many clicks per tuple). The
+    decision costs no job: the product of the profiled distinct counts bounds the
+    number of tuples, and only a bound under ``TUPLE_RATIO`` of the rows switches.
     """
     keys = sorted({k for f in stats for k in f.combo} | {x for f in stats if f.stat[0] == "unique" for x in f.stat[1]})
-    tuples = reliable_checkpoint(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")))
-    if tuples.count() > TUPLE_RATIO * max(1, profile.total_rows):
+    if not all(k in profile.distinct for k in keys):
         return None
-    return tuples
+    bound = 1
+    for k in keys:
+        bound *= max(1, profile.distinct[k])
+    if bound > TUPLE_RATIO * max(1, profile.total_rows):
+        return None
+    return reliable_checkpoint(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")))
 
 
 def add_keyed_features(df: DataFrame, features: Sequence[KeyedFeature], profile: KeyProfile | None = None,
