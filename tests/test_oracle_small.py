@@ -9,7 +9,9 @@ from conftest import SF_SMALL
 FAST = ["cutoff_union", "date_time_features", "click_gaps_all", "click_gaps_both", "unique_counts_all",
         "group_click_count", "cube_counts", "count_in_range_6h", "count_in_range_back", "count_in_range_probes",
         "balanced_folds", "train_valid_split", "test_id_map", "auc_of_score", "sample_fraction", "csv_roundtrip",
-        "alignment_check", "ensemble_mean"]
+        "alignment_check", "ensemble_mean", "raw_features", "epoch_seconds", "time_bounds", "click_gaps_forward",
+        "click_gaps_backward", "unique_counts_ip", "count_in_range_1h", "class_counts", "fold_training_set",
+        "test_feature_set"]
 
 
 @pytest.fixture(scope="module")
