@@ -9,8 +9,10 @@ Two documents link when ``100 * overlap >= threshold * union`` of their distinct
    share a shingle among the first ``n - ceil(t n) + 1`` of each set in that order (n = set size), so only
    those entries of the matrix can start a pair, and columns of very common passages are not among them
    unless a document is made of little else.
-3. *Blocks.* Classes that share a column with the same smallest class form a block (split by hash beyond
-   ``BLOCK_ROWS`` rows, the smallest class in each part). A task multiplies a block's rows with their
+   Sizes and places in the order bound what a pair can still share; short columns drop pairs below that bound
+   at once, long ones (thousands of near copies) only pair each class with their smallest.
+3. *Blocks.* Classes with the same smallest partner form a block (split by hash beyond ``BLOCK_ROWS`` rows,
+   the smallest class in each part). A task multiplies a block's rows with their
    transpose: overlap counts are accumulated per row with ``bincount`` over the columns, and pairs below
    the bound of their two sizes are discarded.
 4. *Rest.* Links are contracted to components. Every pair of classes that still shares a candidate column
@@ -36,6 +38,8 @@ THRESHOLD = 80
 SKETCH_BITS = 20
 #: Rows of one block of the product.
 BLOCK_ROWS = 256
+#: Columns of at most so many entries give all their pairs at once; longer ones go through blocks first.
+SHORT_COLUMN = 64
 
 _U = np.uint64
 
@@ -255,16 +259,27 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int =
     levels = spark.sparkContext.broadcast(frequency_levels(texts, k, sketch_bits))
     postings = texts.mapInArrow(_prefixes(k, threshold, levels, sketch_bits), "gram long, cls long, n int, at int")
     column = Window.partitionBy("gram")
-    shared = written(postings.withColumn("least", F.min("cls").over(column)).withColumn("most", F.max("cls").over(column))
-                     .filter("least != most").drop("most").distinct(), "join-columns")
-
-    # sets of the classes that share a candidate column, from one document of each class
-    need = shared.select("cls").distinct().join(heads, "cls").select(F.col("head").alias("doc_id"), "cls")
-    sets = written(rows.join(need, "doc_id").select("cls", "text").mapInArrow(_set_rows(k), "cls long, n int, grams binary")
-                   .dropDuplicates(["cls"]), "join-sets")
+    shared = written(postings.select("*", F.min("cls").over(column).alias("least"), F.max("cls").over(column).alias("most"),
+                                     F.count("*").over(column).alias("rows")).filter("least != most").drop("most").distinct(), "join-columns")
+
+    def within(x, y):
+        """Cells of two classes in one column that the sizes and the places in the order allow to be linked."""
+        return F.expr(f"{x}.gram = {y}.gram and {x}.cls < {y}.cls and 100 * least({x}.n, {y}.n) >= {threshold} * greatest({x}.n, {y}.n) "
+                      f"and least({x}.n - {x}.at, {y}.n - {y}.at) * {100 + threshold} >= {threshold} * ({x}.n + {y}.n)")
+
+    # short columns give their few pairs at once; a long one only pairs its classes with its smallest
+    short = shared.filter(F.col("rows") <= SHORT_COLUMN)
+    few = short.alias("x").join(short.alias("y"), within("x", "y")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    star = shared.filter((F.col("rows") > SHORT_COLUMN) & (F.col("least") != F.col("cls"))).select(F.col("least").alias("a"), F.col("cls").alias("b"))
+    near = written(few.union(star).distinct(), "join-pairs")
+
+    # sets of the classes in a pair, from one document of each class
+    edge = near.select(F.col("b").alias("cls"), F.col("a").alias("block")).union(near.select(F.col("a"), F.col("a")))
+    block = edge.groupBy("cls").agg(F.min("block").alias("block"))
+    need = block.join(heads, "cls").select(F.col("head").alias("doc_id"), "cls")
+    sets = written(rows.join(need, "doc_id").select("cls", "text").mapInArrow(_set_rows(k), "cls long, n int, grams binary"), "join-sets")
 
     # blocks: each class joins the block of its smallest partner; a block's head stands in each of its parts
-    block = shared.groupBy("cls").agg(F.min("least").alias("block"))
     parts = block.groupBy("block").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
     placed = block.join(parts, "block").select("block", "cls", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part"))
     leads = parts.select("block", F.col("block").alias("cls"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
@@ -273,17 +288,21 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int =
     labels = components(links)
 
     # the remaining cells: pairs across components that share a candidate column within the bounds
-    named = shared.join(labels, "cls", "left").select("gram", "cls", "n", "at", F.coalesce("label", "cls").alias("label"))
-    span = named.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("gram")
-    open_ = named.join(span, "gram")
-    x, y = open_.alias("x"), open_.alias("y")
-    union_bound = f"least(x.n - x.at, y.n - y.at) * {100 + threshold} >= {threshold} * (x.n + y.n)"
-    pairs = x.join(y, F.expr("x.gram = y.gram and x.cls < y.cls and x.label != y.label and "
-                             f"100 * least(x.n, y.n) >= {threshold} * greatest(x.n, y.n) and {union_bound}"))
-    pairs = pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    def label_of(c):
+        return labels.select(F.col("cls").alias(c), F.col("label").alias(f"{c}_label"))
+
+    apart = F.coalesce("a_label", "a") != F.coalesce("b_label", "b")
+    rest = near.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left").filter(apart).select("a", "b")
+    long = shared.filter(F.col("rows") > SHORT_COLUMN).join(labels, "cls", "left").select(
+        "gram", "cls", "n", "at", F.coalesce("label", "cls").alias("label"))
+    span = long.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("gram")
+    open_ = long.join(span, "gram")
+    across = open_.alias("x").join(open_.alias("y"), within("x", "y") & F.expr("x.label != y.label")).select(
+        F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    pairs = rest.union(across).distinct()
     tested = pairs.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("x")), "a").join(
         sets.select(F.col("cls").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
-    more = written(tested.mapInArrow(_pair_product(threshold), "a long, b long"), "join-rest")
+    more = written(tested.mapInArrow(_pair_product(threshold), "a long, b long").distinct(), "join-rest")
     if more.limit(1).count():
         labels = components(links.union(more))
 
