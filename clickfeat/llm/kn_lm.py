@@ -34,7 +34,7 @@ from .common import as_bytes, documents, held_out, scratch, shard_count, text_by
 #: Text bytes per shard of the model.
 SHARD_BYTES = 32 << 20
 #: Tokens that a task gathers before it collapses and sends them.
-FLUSH_TOKENS = 4_000_000
+FLUSH_TOKENS = 2_000_000
 
 _U = np.uint64
 END, START = _U(0x5EED0E0D), _U(0x5EED57A7)
@@ -109,9 +109,13 @@ def _count_pairs(model):
         words = Lookup(model["uri"], "word", {}, model["shards"], lambda h: tx.shard_of(h, model["shards"]), model["starts"])
 
         def take(tokens, contexts):
-            both, back = np.unique(np.concatenate([tokens, contexts]), return_inverse=True)
-            ids = words.find(both)[1]["id"][back]
-            b, a = ids[:len(tokens)], ids[len(tokens):]
+            kinds, back = np.unique(tokens, return_inverse=True)
+            b = words.find(kinds)[1]["id"][back]
+            # a context is the token before, or START
+            a = np.empty_like(b)
+            a[1:] = b[:-1]
+            a[contexts == START] = words.find(np.array([START]))[1]["id"][0]
+            del back, kinds
             # (context, word) as one sorted number: both are below the number of words
             pair, n = np.unique(a * np.int64(model["starts"][-1]) + b, return_counts=True)
             a, b = np.divmod(pair, np.int64(model["starts"][-1]))
@@ -248,8 +252,10 @@ class Scorer:
         """(count of each token, log10 of its smoothed frequency, log10 P(token | context))."""
         m = self.m
         uniform = 1.0 / (m["vocab"] + 1)
-        both, back = np.unique(np.concatenate([tokens, contexts]), return_inverse=True)
-        t, h = back[:len(tokens)], back[len(tokens):]
+        both, t = np.unique(np.append(tokens, START), return_inverse=True)
+        t, start = t[:-1], t[-1]
+        # a context is the token before, or START
+        h = np.where(contexts == START, start, np.roll(t, 1))
         known, w = self.words.find(both)
         w = {n: v if n == "id" else v.astype(np.float64) for n, v in w.items()}
         c = w["word_n"]
