@@ -95,9 +95,9 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, stride: int =
         _maybe_broadcast(asked, n_rows), ["size", "hash"], "left_semi").select(F.col("doc_id").alias("k1"), F.col("print").alias("k2")).distinct()
 
     # 2. all windows of those documents against the items
-    near = rows.distinct().join(hit, F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("print") == F.col("k2"))).select(
+    near = rows.join(hit, F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("print") == F.col("k2"))).select(
         "doc_id", "print", template_words(F.col("text")).alias("t"), raw_words(F.col("text")).alias("raw"))
-    near = written(near, "leak-near")
+    near = written(near.dropDuplicates(["doc_id", "print"]), "leak-near")
     found = None
     for n in sizes:
         part = near.select("doc_id", "print", F.lit(n).alias("size"), F.posexplode(windows(F.col("t"), n)).alias("place", "hash"))

@@ -35,7 +35,7 @@ from .common import as_bytes, documents, written
 
 SHINGLE_WORDS = 5
 THRESHOLD = 80
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 #: Rows of one block of the product.
 BLOCK_ROWS = 256
 #: Columns of at most so many entries give all their pairs at once; longer ones go through blocks first.
@@ -291,8 +291,14 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int =
     def label_of(c):
         return labels.select(F.col("cls").alias(c), F.col("label").alias(f"{c}_label"))
 
-    apart = F.coalesce("a_label", "a") != F.coalesce("b_label", "b")
-    rest = near.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left").filter(apart).select("a", "b")
+    def spot_of(c):
+        return placed.select(F.col("cls").alias(c), F.col("block").alias(f"{c}_block"), F.col("part").alias(f"{c}_part"))
+
+    # pairs of one block part, or of a block and its head, are cells of the product already
+    apart = (F.coalesce("a_label", "a") != F.coalesce("b_label", "b")) & (F.col("a_block") != F.col("b")) & (F.col("b_block") != F.col("a")) & (
+        (F.col("a_block") != F.col("b_block")) | (F.col("a_part") != F.col("b_part")))
+    rest = near.join(spot_of("a"), "a").join(spot_of("b"), "b").join(label_of("a"), "a", "left").join(
+        label_of("b"), "b", "left").filter(apart).select("a", "b")
     long = shared.filter(F.col("rows") > SHORT_COLUMN).join(labels, "cls", "left").select(
         "gram", "cls", "n", "at", F.coalesce("label", "cls").alias("label"))
     span = long.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("gram")

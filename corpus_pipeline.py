@@ -46,14 +46,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_components(docs)
-    copies = found.filter("n_shingles > 0 and doc_id is not null and component_id != doc_id")
-    kept = _keep(docs, copies, gone=True)
-    # rows that share an id and are in one component: one of them
-    twice = found.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    many = _print(_keep(kept, twice, gone=False))
-    first = many.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "_print"))).filter("_n = 1")
-    return _keep(kept, twice, gone=True).unionByName(first.drop("_n", "_print"))
+    found = jaccard_components(docs).filter("n_shingles > 0 and doc_id is not null")
+    # one row per id that is a copy, or that several rows share
+    verdict = found.groupBy(F.col("doc_id").alias("_id")).agg(
+        F.max(F.col("component_id") != F.col("doc_id")).alias("_copy"), (F.count("*") > 1).alias("_shared")).filter("_copy or _shared")
+    rows = docs.join(verdict, docs["doc_id"] == verdict["_id"], "left").filter("not coalesce(_copy, false)")
+    shared = _print(rows.filter("_shared"))
+    first = shared.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "_print"))).filter("_n = 1")
+    return rows.filter("_shared is null").select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,13 +73,13 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mix_sources(docs).filter("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("fingerprint").alias("_fp"), "size",
-        (F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    # equal rows are one row with the sum of their copies
-    taken = taken.groupBy("_id", "_source", "_fp", "size").agg(F.sum("copies").alias("copies"))
-    rows = _print(docs.distinct())
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("fingerprint").alias("_fp"),
+        (F.col("taken") / F.col("size")).cast("int").alias("_taken"))
+    # equal rows become one row with the sum of their copies
+    taken = taken.groupBy("_id", "_source", "_fp").agg(F.sum("_taken").cast("int").alias("_copies"))
+    rows = _print(docs).dropDuplicates(["doc_id", "source", "_print"])
     same = F.expr("doc_id <=> _id and source <=> _source and _print = _fp")
-    return rows.join(taken, same).select(*docs.columns, "size", "copies")
+    return rows.join(taken, same).select(*[c for c in docs.columns if c != "copies"], F.col("_copies").alias("copies"))
 
 
 STAGES = [
