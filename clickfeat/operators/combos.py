@@ -16,9 +16,9 @@ def feature_combinations(cols: Sequence[str] = ID_COLUMNS, min_n: int = 1, max_n
     if max_n is None:
         max_n = len(cols)
     if max_n > len(cols):
-        raise ValueError("max_n must be no greater than the number of columns")
+        raise ValueError(f"cannot choose {max_n} of {len(cols)} columns")
     if max_n < min_n:
-        raise ValueError("max_n must be no smaller than min_n")
+        raise ValueError(f"no size lies between {min_n} and {max_n}")
     need = set(as_keys(include)) if include else set()
     out = []
     for n in range(min_n, max_n + 1):

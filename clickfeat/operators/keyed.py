@@ -64,6 +64,13 @@ class KeyedFeature:
         return self.stat is not None
 
 
+def check_row_ids(df: DataFrame) -> None:
+    """Raise unless every row has an id of its own: branches meet on it."""
+    wrong = df.groupBy(ROW_ID).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(ROW_ID).isNull()).limit(1)
+    if wrong.count():
+        raise ValueError(f"{ROW_ID} must be unique and not null")
+
+
 def flag_name(keys: Sequence[str]) -> str:
     return "__first_" + "_".join(keys)
 
@@ -172,6 +179,8 @@ def add_keyed_features(df: DataFrame, features: Sequence[KeyedFeature], profile:
         # the input feeds several plans: write it once to the reliable checkpoint
         # folder instead of recomputing its source for each reader
         df = reliable_checkpoint(df)
+    if branch:
+        check_row_ids(df)
     out = df
     stats_base = tuple_table(df, small_stats, profile) if len(small_stats) > 1 else None
     for f in small_stats:

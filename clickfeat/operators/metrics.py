@@ -38,7 +38,7 @@ def auc(df: DataFrame, score_col: str, label_col: str = LABEL, group_cols: Seque
               .withColumn("__neg_below", F.col("__neg_before_part")
                           + F.coalesce(F.sum("__neg").over(inner), F.lit(0))))
     agg = scored.groupBy(*g).agg(
-        F.sum(F.col("__pos") * (F.col("__neg_below") + F.col("__neg") * 0.5)).alias("__num"),
+        F.sum(F.col("__pos").cast("double") * (F.col("__neg_below") + F.col("__neg") * 0.5)).alias("__num"),
         F.sum("__pos").alias("n_pos"), F.sum("__neg").alias("n_neg"))
-    return agg.select(*g, (F.col("__num") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"),
+    return agg.select(*g, (F.col("__num") / (F.col("n_pos").cast("double") * F.col("n_neg"))).alias("auc"),
                       F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"))

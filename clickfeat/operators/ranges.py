@@ -43,7 +43,13 @@ def _range_feature(combo, back, fwd, time_col, dtype) -> KeyedFeature:
         w = Window.partitionBy(*combo).orderBy(time_col).rangeBetween(back, fwd)
         per_second = (base.groupBy(*combo, time_col).agg(F.count(F.lit(1)).alias(n))
                       .select(*combo, time_col, F.sum(n).over(w).alias(total)))
-        joined = df.join(maybe_broadcast(per_second, profile, combo, True), on=[*combo, time_col], how="left")
+        # null times are peers of each other, as in the window plan; null keys match nothing
+        keys = {c: f"{tag}_{i}" for i, c in enumerate((*combo, time_col))}
+        side = maybe_broadcast(per_second.withColumnsRenamed(keys), profile, combo, True)
+        same = df[time_col].eqNullSafe(side[keys[time_col]])
+        for c in combo:
+            same = same & (df[c] == side[keys[c]])
+        joined = df.join(side, same, "left")
         return joined.select(*df.columns, F.col(total).cast(dtype).alias(name))
 
     return KeyedFeature(combo, (name,), window_plan, apply_second)

@@ -189,7 +189,7 @@ GROUP BY p.click_id"""
     thr = fraction_threshold(q.SAMPLE_FRACTION)
     out["sample_fraction"] = BASE + f"""
 SELECT row_id, split, {S} FROM u
-WHERE substr(md5(concat(CAST({q.SAMPLE_SEED} AS VARCHAR), '_', CAST(row_id AS VARCHAR))), 1, 8) < '{thr}'"""
+WHERE substr(md5(concat(CAST({q.SAMPLE_SEED} AS VARCHAR), '_', CAST(row_id AS VARCHAR))), 1, 32) < '{thr}'"""
     out["class_counts"] = BASE + "SELECT is_attributed, count(*) AS n_rows FROM train GROUP BY is_attributed"
     out["balanced_folds"] = BASE + folds_cte() + "SELECT fold, row_id, is_attributed FROM fs"
     out["train_valid_split"] = BASE + folds_cte() + f"""

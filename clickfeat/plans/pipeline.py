@@ -80,7 +80,7 @@ def training_sets(spark: SparkSession, out: str, table_prefix: str | None = None
         fold_table = spark.read.parquet(f"{out}/folds")
     require_features(feats, names)
     rows = fo.fold_features(fold_table, feats)
-    check = fo.check_alignment(fold_table, rows).first()
+    check = fo.check_alignment(fold_table, rows, ["fold", ROW_ID]).first()
     if check["only_left"] or check["only_right"]:
         raise RuntimeError(f"fold ids and feature rows disagree: {check.asDict()}")
     (fo.training_set(rows, names, keys=("fold", ROW_ID, "is_valid")).sortWithinPartitions(ROW_ID)

@@ -251,7 +251,7 @@ def q_alignment_check(spark, sf_dir):
     folds = _folds(inp)
     feats = feature_table(inp.union, ("raw",))
     labelled = fo.fold_features(folds, feats.drop(LABEL))
-    return fo.check_alignment(folds, labelled)
+    return fo.check_alignment(folds, labelled, ["fold", ROW_ID])
 
 
 def q_test_id_map(spark, sf_dir):

@@ -3,7 +3,7 @@ view over the ``events`` table used by tests and the registered queries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.datetime import epoch_seconds
 from ..schema import (ATTRIBUTED_TIME, CLICK_ID, LABEL, ROW_ID, SECONDS, SPLIT, TEST_SCHEMA, TIME,
@@ -22,16 +22,25 @@ UNION_ID_OFFSET = 1_000_000_000_000       # row id of a supplement row in the un
 DEFAULT_SEED_FRACTION = 0.001
 
 
+def _read_by_header(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
+    """Columns of ``schema`` by the names in the files' header, whatever their order; a missing one raises."""
+    names = spark.read.option("header", True).csv(path).columns
+    missing = [n for n in schema.names if n not in names]
+    if missing:
+        raise ValueError(f"columns missing in {path}: {missing}")
+    in_file = T.StructType([schema[n] if n in schema.names else T.StructField(n, T.StringType()) for n in names])
+    return (spark.read.schema(in_file).option("header", True).option("enforceSchema", False)
+            .option("timestampFormat", TIME_FORMAT).option("mode", "FAILFAST").csv(path).select(*schema.names))
+
+
 def read_clicks_train(spark: SparkSession, path) -> DataFrame:
     """Training clicks: 8 named columns, declared types, two time columns."""
-    return (spark.read.schema(TRAIN_SCHEMA).option("header", True)
-            .option("timestampFormat", TIME_FORMAT).option("mode", "FAILFAST").csv(path))
+    return _read_by_header(spark, path, TRAIN_SCHEMA)
 
 
 def read_clicks_test(spark: SparkSession, path) -> DataFrame:
     """Test or supplement clicks: ``click_id`` first, no label."""
-    return (spark.read.schema(TEST_SCHEMA).option("header", True)
-            .option("timestampFormat", TIME_FORMAT).option("mode", "FAILFAST").csv(path))
+    return _read_by_header(spark, path, TEST_SCHEMA)
 
 
 def write_clicks_csv(df: DataFrame, path: str) -> None:
