@@ -11,10 +11,10 @@ Two documents link when ``100 * overlap >= threshold * union`` of their distinct
    unless a document is made of little else.
    Sizes and places in the order bound what a pair can still share; short columns drop pairs below that bound
    at once, long ones (thousands of near copies) only pair each class with their smallest.
-3. *Blocks.* Classes with the same smallest partner form a block (split by hash beyond ``BLOCK_ROWS`` rows,
-   the smallest class in each part). A task multiplies a block's rows with their
-   transpose: overlap counts are accumulated per row with ``bincount`` over the columns, and pairs below
-   the bound of their two sizes are discarded.
+3. *Blocks.* Only texts of classes in a pair are shuffled: a bitmap of fixed size keeps the others out. Classes
+   with the same smallest partner form a block (split by hash beyond ``BLOCK_ROWS`` rows, the smallest class in
+   each part). A task multiplies a block's rows with their transpose: overlap counts are accumulated per row
+   with ``bincount`` over the columns, and pairs below the bound of their two sizes are discarded.
 4. *Rest.* Links are contracted to components. Every pair of classes that still shares a candidate column
    across two components, and that passes the bound by sizes and position in the order, is multiplied
    exactly too. After that no link can be missing, and copies were never expanded into all pairs.
@@ -40,6 +40,8 @@ SKETCH_BITS = 22
 BLOCK_ROWS = 256
 #: Columns of at most so many entries give all their pairs at once; longer ones go through blocks first.
 SHORT_COLUMN = 64
+#: Bits of the filter that keeps rows of unasked keys out of a shuffle (4 MB whatever the input).
+FILTER_BITS = 25
 
 _U = np.uint64
 
@@ -78,15 +80,15 @@ def _batches(batches, k):
                 yield batch, lo, hi, list(_sets(data, offsets, k))
 
 
-_DOC_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64())])
+_DOC_SCHEMA = pa.schema([("doc_id", pa.int64()), ("print", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64())])
 
 
 def _classes(k):
     def run(batches):
         for batch, lo, hi, sets in _batches(batches, k):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tx.ids_of(batch.column("doc_id"))[lo:hi]), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([_class_of(s) for s in sets], pa.int64())], schema=_DOC_SCHEMA)
+                [batch.column("doc_id").slice(lo, hi - lo), batch.column("print").slice(lo, hi - lo),
+                 pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) for s in sets], pa.int64())], schema=_DOC_SCHEMA)
     return run
 
 
@@ -169,19 +171,21 @@ def _set_rows(k):
     return run
 
 
-def _product(threshold):
-    """Links inside one block: rows of shingle sets times their transpose, one row of counts at a time."""
+def _product(k, threshold):
+    """Links inside one block of texts: rows of shingle sets times their transpose, one row of counts at a time."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        n = np.asarray(table.column("n")).astype(np.int64)
-        cls = np.asarray(table.column("cls"))
+        cls, rows = [], []
+        for batch, lo, hi, found in _batches(table.to_batches(), k):
+            cls.extend(tx.ids_of(batch.column("cls"))[lo:hi])
+            rows.extend(found)
+        n, cls = np.array([len(s) for s in rows], np.int64), np.array(cls, np.int64)
         order = np.lexsort((cls, n))
         _, once = np.unique(cls[order], return_index=True)
         order = order[np.sort(once)]
         cls, n = cls[order], n[order]
-        rows = table.column("grams").to_pylist()
-        sets = [np.frombuffer(rows[i], np.uint64) for i in order]
+        sets = [rows[i] for i in order]
         size = len(sets)
         label = np.arange(size)
         links = []
@@ -247,14 +251,36 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         labels = nxt.select("cls", "label")
 
 
+def asked_only(rows: DataFrame, key: list[str], asked: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of ``rows`` whose ``key`` may be one of ``asked``: all that are, and few others while ``asked`` has fewer than 2^bits keys.
+
+    The filter is a bitmap of 2^bits bits in pieces of 4 KB, so its broadcast has a fixed size.
+    """
+    spot = F.pmod(F.xxhash64(*key), F.lit(1 << bits))
+    pieces = asked.select(spot.alias("_spot")).groupBy(F.bitmap_bucket_number("_spot").alias("_piece")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_spot")).alias("_bits"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(bitmap_bit_position(_spot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    marked = F.getbit(byte, (F.bitmap_bit_position("_spot") % 8).cast("int")) == 1
+    return rows.withColumn("_spot", spot).withColumn("_piece", F.bitmap_bucket_number("_spot")).join(
+        F.broadcast(pieces), "_piece").filter(marked).select(*rows.columns)
+
+
 def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD,
                        sketch_bits: int = SKETCH_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(tx.NULL_ID)).alias("doc_id"), as_bytes())
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(tx.NULL_ID)).alias("doc_id"), as_bytes()).withColumn("print", F.xxhash64("text"))
     texts = rows.select("text")
-    member = written(rows.mapInArrow(_classes(k), "doc_id long, n_shingles long, cls long"), "join-classes")
-    heads = member.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("head"))
+    member = written(rows.mapInArrow(_classes(k), "doc_id long, print long, n_shingles long, cls long"), "join-classes")
+    # one row stands for its class: the smallest id, with the fingerprint of its text as ids can be repeated
+    heads = member.filter("n_shingles > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "print")).alias("first")).select(
+        "cls", F.col("first.doc_id").alias("head"), F.col("first.print").alias("print"))
+
+    def texts_of(asked: DataFrame) -> DataFrame:
+        """``asked`` (cls, ...) with the text of each class; other texts are not shuffled."""
+        need = written(asked.join(heads, "cls").withColumnRenamed("head", "doc_id"), "join-asked")
+        row = ["doc_id", "print"]
+        return asked_only(rows, row, need).dropDuplicates(row).join(need, row).select(*asked.columns, "text")
 
     levels = spark.sparkContext.broadcast(frequency_levels(texts, k, sketch_bits))
     postings = texts.mapInArrow(_prefixes(k, threshold, levels, sketch_bits), "gram long, cls long, n int, at int")
@@ -273,18 +299,14 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int =
     star = shared.filter((F.col("rows") > SHORT_COLUMN) & (F.col("least") != F.col("cls"))).select(F.col("least").alias("a"), F.col("cls").alias("b"))
     near = written(few.union(star).distinct(), "join-pairs")
 
-    # sets of the classes in a pair, from one document of each class
+    # blocks: each class joins the block of its smallest partner; a block's head stands in each of its parts
     edge = near.select(F.col("b").alias("cls"), F.col("a").alias("block")).union(near.select(F.col("a"), F.col("a")))
     block = edge.groupBy("cls").agg(F.min("block").alias("block"))
-    need = block.join(heads, "cls").select(F.col("head").alias("doc_id"), "cls")
-    sets = written(rows.join(need, "doc_id").select("cls", "text").mapInArrow(_set_rows(k), "cls long, n int, grams binary"), "join-sets")
-
-    # blocks: each class joins the block of its smallest partner; a block's head stands in each of its parts
     parts = block.groupBy("block").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
-    placed = block.join(parts, "block").select("block", "cls", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part"))
+    placed = written(block.join(parts, "block").select("block", "cls", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part")), "join-places")
     leads = parts.select("block", F.col("block").alias("cls"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    rows_of = placed.union(leads.select("block", "cls", "part")).distinct().join(sets, "cls")
-    links = written(rows_of.groupBy("block", "part").applyInArrow(_product(threshold), "a long, b long"), "join-links")
+    rows_of = texts_of(placed.union(leads.select("block", "cls", "part")).distinct())
+    links = written(rows_of.groupBy("block", "part").applyInArrow(_product(k, threshold), "a long, b long"), "join-links")
     labels = components(links)
 
     # the remaining cells: pairs across components that share a candidate column within the bounds
@@ -305,7 +327,9 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int =
     open_ = long.join(span, "gram")
     across = open_.alias("x").join(open_.alias("y"), within("x", "y") & F.expr("x.label != y.label")).select(
         F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    pairs = rest.union(across).distinct()
+    pairs = written(rest.union(across).distinct(), "join-open")
+    both = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    sets = written(texts_of(both).mapInArrow(_set_rows(k), "cls long, n int, grams binary"), "join-sets")
     tested = pairs.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("x")), "a").join(
         sets.select(F.col("cls").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
     more = written(tested.mapInArrow(_pair_product(threshold), "a long, b long").distinct(), "join-rest")

@@ -95,6 +95,21 @@ def test_op7_large_group_and_long_columns(spark, monkeypatch):
     same(got, components_by_force(rows))
 
 
+def test_op7_shared_and_null_ids(spark):
+    """Many rows without an id and many that share one: each row's class is found by its own text."""
+    text = lambda i: " ".join(f"w{i}_{j}" for j in range(30))
+    rows = [(None, text(i % 40)) for i in range(80)] + [(5, text(i % 60)) for i in range(70)] + [(i, text(i) + " end") for i in range(20, 30)]
+    same(ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect(), components_by_force(rows))
+
+
+def test_op7_filter_keeps_all_asked_and_few_others(spark):
+    rows = spark.range(-20_000, 20_000).selectExpr("id as doc_id", "id * 7 as print")
+    asked = rows.filter("doc_id % 50 = 0")
+    got = {r["doc_id"] for r in ngram_join.asked_only(rows, ["doc_id", "print"], asked).collect()}
+    assert {i for i in range(-20_000, 20_000) if i % 50 == 0} <= got and len(got) < 1_000
+    assert ngram_join.asked_only(rows, ["doc_id", "print"], asked.filter("false")).count() == 0
+
+
 def test_op6_matches_brute_force(docs):
     rows = [(d, [*(t or "").encode().lower().split(), None]) for d, t in rows_of(docs)]
     held = [zlib.crc32(str(d).encode() if d is not None else b"") % 10 == 0 for d, _ in rows]
