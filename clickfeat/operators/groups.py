@@ -13,7 +13,7 @@ from .keyed import KeyedFeature, WindowPlan, add_keyed_features, flag_name, null
 from .skew import KeyProfile, maybe_broadcast
 
 
-def group_count_features(combos, *, dtype: str = "int") -> list[KeyedFeature]:
+def group_count_features(combos, *, dtype: str = "long") -> list[KeyedFeature]:
     return [_count_feature(c, dtype) for c in normalise_combos(combos)]
 
 
@@ -35,7 +35,7 @@ def _count_feature(combo, dtype) -> KeyedFeature:
     return KeyedFeature(combo, (name,), window_plan, apply_second, stat=("count",))
 
 
-def group_click_count(df: DataFrame, combos, *, profile: KeyProfile | None = None, dtype: str = "int") -> DataFrame:
+def group_click_count(df: DataFrame, combos, *, profile: KeyProfile | None = None, dtype: str = "long") -> DataFrame:
     """Add ``count_groupby_<keys>``: rows of the row's group (A1; also the meaning of
     the range count with no range, A2)."""
     return add_keyed_features(df, group_count_features(combos, dtype=dtype), profile)
@@ -47,7 +47,7 @@ def objectives_for(combo: Sequence[str], objective: Sequence[str]) -> tuple[str,
 
 
 def unique_count_features(combos, objective: Sequence[str] = ID_COLUMNS, *,
-                          dtype: str = "int") -> list[KeyedFeature]:
+                          dtype: str = "long") -> list[KeyedFeature]:
     out = []
     for combo in normalise_combos(combos):
         objs = objectives_for(combo, objective)
@@ -83,7 +83,7 @@ def _unique_feature(combo, objs, dtype) -> KeyedFeature:
 
 
 def unique_counts(df: DataFrame, combos, objective: Sequence[str] = ID_COLUMNS, *,
-                  profile: KeyProfile | None = None, dtype: str = "int") -> DataFrame:
+                  profile: KeyProfile | None = None, dtype: str = "long") -> DataFrame:
     """Add ``unique_count_<x>_groupby_<keys>``: for every combination, the number of
     distinct values of each objective column not in it (nulls not counted)."""
     return add_keyed_features(df, unique_count_features(combos, objective, dtype=dtype), profile)
@@ -100,8 +100,9 @@ def cube_counts(df: DataFrame, cols: Sequence[str] = ID_COLUMNS, combos=None) ->
         combos = feature_combinations(cols)
     sets = [[F.col(c) for c in combo] for combo in combos]
     combo_name = F.concat_ws("_", *[F.when(F.grouping(c) == 0, F.lit(c)) for c in cols])
-    return (df.groupingSets(sets, *cols)
-            .agg(F.count(F.lit(1)).cast("int").alias("n_clicks"), combo_name.alias("combo")))
+    # rows collapse to their tuples before they are copied once per combination
+    tuples = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
+    return tuples.groupingSets(sets, *cols).agg(F.sum("__n").alias("n_clicks"), combo_name.alias("combo"))
 
 
 def class_counts(df: DataFrame, label: str = LABEL) -> DataFrame:

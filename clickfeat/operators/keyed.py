@@ -29,8 +29,9 @@ about one sort per key set.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -38,6 +39,8 @@ from ..schema import ROW_ID
 from ..session import reliable_checkpoint
 from .skew import KeyProfile, profile_keys
 
+ROWS_PER_TASK = 4_000_000  # rows of one window task, from which the number of partitions follows
+BROADCAST_TOTAL_ROWS = 4_000_000  # proven rows of all tables that one plan broadcasts, together
 
 
 @dataclass
@@ -90,7 +93,13 @@ def null_key_guard(keys: Sequence[str], value: Column) -> Column:
     return F.when(cond, F.lit(None)).otherwise(value)
 
 
-def _window_root(out: DataFrame, root: str, group: Sequence[KeyedFeature]) -> DataFrame:
+def root_partitions(configured: int, profile: KeyProfile) -> int:
+    """Partitions of a root's exchange: the session's, or more when the profiled rows ask for it."""
+    rows = profile.total_rows if profile.distinct else 0  # forced profiles have no measured size
+    return max(configured, math.ceil(rows / ROWS_PER_TASK))
+
+
+def _window_root(out: DataFrame, root: str, group: Sequence[KeyedFeature], profile: KeyProfile) -> DataFrame:
     plans = {}
     for f in group:
         plans.setdefault(f.combo, []).append(f.window_plan())
@@ -101,7 +110,7 @@ def _window_root(out: DataFrame, root: str, group: Sequence[KeyedFeature]) -> Da
     flags_needed = {tuple(s) for ps in plans.values() for p in ps for s in p.flags}
     # an explicit count keeps AQE from folding a small input into one task: the
     # windows below are the expensive part and need the parallelism
-    n = int(out.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    n = root_partitions(int(out.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), profile)
     out = out.repartition(n, F.col(root))
     # largest key sets first: a unique count of K reads flags of K + one key.
     # One projection per key set: its windows share that key set's sort (one
@@ -157,6 +166,8 @@ def add_keyed_features(df: DataFrame, features: Sequence[KeyedFeature], profile:
         keys = sorted({k for f in features for k in f.combo})
         profile = profile_keys(df, keys, time_col) if time_col else profile_keys(df, keys)
 
+    # each feature may broadcast one table: their sum is bounded too
+    profile = replace(profile, broadcast_rows=min(profile.broadcast_rows, BROADCAST_TOTAL_ROWS // len(features)))
     rooted: dict[str, list[KeyedFeature]] = {}
     second: list[KeyedFeature] = []
     small_stats: list[KeyedFeature] = []
@@ -190,8 +201,8 @@ def add_keyed_features(df: DataFrame, features: Sequence[KeyedFeature], profile:
     # roots with the fewest outputs first: later shuffles carry the fewest columns
     for root in sorted(rooted, key=lambda r: sum(len(f.names) for f in rooted[r])):
         if branch:
-            part = _window_root(df, root, rooted[root])
+            part = _window_root(df, root, rooted[root], profile)
             out = out.join(part.select(ROW_ID, *[n for f in rooted[root] for n in f.names]), ROW_ID)
         else:
-            out = _window_root(out, root, rooted[root])
+            out = _window_root(out, root, rooted[root], profile)
     return out.select(*base_cols, *names)

@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..schema import CLICK_ID, ID_COLUMNS, LABEL, NOT_MODELLED, ROW_ID, SPLIT, TIME, raw_name
-from ..sources.clicks import UNION_ID_OFFSET
+from ..sources.clicks import BLOCK, FILE, UNION_ID_OFFSET
 
 
 def last_click_time(df: DataFrame, time_col: str = TIME):
@@ -38,6 +38,25 @@ def union_clicks(train: DataFrame, test: DataFrame, id_offset: int = UNION_ID_OF
     return tr.unionByName(te, allowMissingColumns=True)
 
 
+def with_file_order_ids(placed: DataFrame, snapshot_path: str) -> DataFrame:
+    """Row ids 0, 1, 2, ... in file order (P8) for rows read with their place.
+
+    Spark deals splits to tasks by size, so task order is not file order. A split
+    is read whole by one task, so the per-task numbers of its rows are
+    consecutive; rows and numbers are written once to ``snapshot_path``, then each
+    split's numbers are shifted to the rows of all splits before it (by file
+    path, then place in the file). The table of splits has one row per input
+    split; the rows are joined to it, not ranked.
+    """
+    placed.withColumn("__at", F.monotonically_increasing_id()).write.mode("overwrite").parquet(snapshot_path)
+    rows = placed.sparkSession.read.parquet(snapshot_path)
+    splits = rows.groupBy(FILE, BLOCK).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    earlier = Window.orderBy(FILE, BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(FILE, BLOCK, (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"))
+    return (rows.join(splits, [FILE, BLOCK]).withColumn(ROW_ID, F.col("__at") + F.col("__shift"))
+            .drop(FILE, BLOCK, "__at", "__shift"))
+
+
 def take_split(df: DataFrame, split: str) -> DataFrame:
     """Rows of one side of the union."""
     return df.filter(F.col(SPLIT) == split)

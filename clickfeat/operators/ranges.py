@@ -23,7 +23,7 @@ def check_range(back, fwd) -> tuple[int, int]:
 
 
 def range_count_features(combos, back: int, fwd: int, *, time_col: str = SECONDS,
-                         dtype: str = "int") -> list[KeyedFeature]:
+                         dtype: str = "long") -> list[KeyedFeature]:
     back, fwd = check_range(back, fwd)
     return [_range_feature(c, back, fwd, time_col, dtype) for c in normalise_combos(combos)]
 
@@ -56,7 +56,7 @@ def _range_feature(combo, back, fwd, time_col, dtype) -> KeyedFeature:
 
 
 def count_in_range(df: DataFrame, combos, back: int | None = None, fwd: int | None = None, *,
-                   time_col: str = SECONDS, profile: KeyProfile | None = None, dtype: str = "int") -> DataFrame:
+                   time_col: str = SECONDS, profile: KeyProfile | None = None, dtype: str = "long") -> DataFrame:
     """Add ``count_groupby_<keys>_in_time_range_<back>_<fwd>_seconds``: clicks of the
     row's group with time in ``[t + back, t + fwd]``, the row and its ties included.
     With no range at all, the count of the whole group, ``count_groupby_<keys>`` (A2)."""
@@ -70,7 +70,7 @@ def count_in_range(df: DataFrame, combos, back: int | None = None, fwd: int | No
 
 
 def count_in_range_for(probes: DataFrame, events: DataFrame, keys, back: int = -3600, fwd: int = 3600, *,
-                       time_col: str = SECONDS, name: str | None = None, dtype: str = "int") -> DataFrame:
+                       time_col: str = SECONDS, name: str | None = None, dtype: str = "long") -> DataFrame:
     """For each probe row, the events of its group with time in ``[t + back, t + fwd]``.
 
     Probes and events are both reduced to one row per (keys, second) - events

@@ -134,19 +134,6 @@ def forced_profile(plan: str, broadcast: bool = False) -> KeyProfile:
                       max_second=None, forced=plan)
 
 
-def group_by_root(combos, profile: KeyProfile):
-    """Split combinations into {root: [combos]} for the window plan and a list for the second plan."""
-    rooted: dict[str, list[tuple[str, ...]]] = {}
-    second: list[tuple[str, ...]] = []
-    for combo in combos:
-        root = profile.root_for(combo)
-        if root is None:
-            second.append(combo)
-        else:
-            rooted.setdefault(root, []).append(combo)
-    return rooted, second
-
-
 def maybe_broadcast(small: DataFrame, profile: KeyProfile, combo, with_seconds: bool) -> DataFrame:
     """Broadcast only under a proven row bound; beyond it leave the join to a shuffle."""
     return F.broadcast(small) if profile.can_broadcast(tuple(combo), with_seconds) else small

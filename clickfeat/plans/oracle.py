@@ -6,6 +6,7 @@ from __future__ import annotations
 from ..operators.combos import feature_combinations
 from ..operators.folds import fraction_threshold
 from ..operators.groups import objectives_for
+from ..operators.prep import drop_features
 from ..schema import ID_COLUMNS, gap_name, range_count_name, unique_count_name
 from ..sources.clicks import (SUPPLEMENT_START, TEST_END, TEST_ID_OFFSET, TEST_START, TRAIN_END, UNION_ID_OFFSET)
 from .features import feature_manifest
@@ -66,18 +67,18 @@ def gap_sql(combo, direction: str, wrap: bool = True) -> str:
 
 
 def unique_sql(combo) -> list[str]:
-    return [f"CAST(count(DISTINCT {x}) OVER (PARTITION BY {_p(combo)}) AS INTEGER) AS \"{unique_count_name(x, combo)}\""
+    return [f"CAST(count(DISTINCT {x}) OVER (PARTITION BY {_p(combo)}) AS BIGINT) AS \"{unique_count_name(x, combo)}\""
             for x in objectives_for(combo, ID_COLUMNS)]
 
 
 def range_sql(combo, back: int, fwd: int) -> str:
     frame = f"RANGE BETWEEN {-back} PRECEDING AND {fwd} FOLLOWING"
-    return (f"CAST(count(*) OVER (PARTITION BY {_p(combo)} ORDER BY {S} {frame}) AS INTEGER) "
+    return (f"CAST(count(*) OVER (PARTITION BY {_p(combo)} ORDER BY {S} {frame}) AS BIGINT) "
             f"AS \"{range_count_name(combo, back, fwd)}\"")
 
 
 def count_sql(combo) -> str:
-    return f"CAST(count(*) OVER (PARTITION BY {_p(combo)}) AS INTEGER) AS count_groupby_{'_'.join(combo)}"
+    return f"CAST(count(*) OVER (PARTITION BY {_p(combo)}) AS BIGINT) AS count_groupby_{'_'.join(combo)}"
 
 
 HOD = (f"CAST(CAST(hour(click_time) AS DOUBLE) + CAST(minute(click_time) AS DOUBLE) / 60.0"
@@ -130,6 +131,14 @@ fs AS (
 """
 
 
+HOLDOUT = f"""
+, sz AS (SELECT fold, CAST(ceil(CAST(count(*) AS DOUBLE) * CAST({q.VALID_FRACTION} AS DOUBLE)) AS BIGINT) AS n
+         FROM fs GROUP BY fold),
+r AS (SELECT fs.*, row_number() OVER (PARTITION BY fold
+        ORDER BY md5(concat('{q.SPLIT_SEED}', '_', CAST(row_id AS VARCHAR))), row_id) AS rn FROM fs)
+"""
+
+
 IDMAP = """
 , firstm AS (SELECT ip, app, device, os, channel, click_time, min(click_id) AS old_click_id
              FROM part GROUP BY ip, app, device, os, channel, click_time),
@@ -172,7 +181,7 @@ SELECT 'test', min({S}), max({S}), count(*) FROM u WHERE split = 'test'"""
     sets = ", ".join(f"({_p(c)})" for c in ALL)
     combo = ", ".join(f"CASE WHEN grouping({k}) = 0 THEN '{k}' END" for k in ID_COLUMNS)
     out["cube_counts"] = BASE + f"""
-SELECT ip, app, device, os, channel, CAST(count(*) AS INTEGER) AS n_clicks, concat_ws('_', {combo}) AS combo
+SELECT ip, app, device, os, channel, CAST(count(*) AS BIGINT) AS n_clicks, concat_ws('_', {combo}) AS combo
 FROM u GROUP BY GROUPING SETS ({sets})"""
     out["unique_counts_ip"] = _keyed(unique_sql(("ip",)))
     out["unique_counts_all"] = _keyed([s for c in ALL for s in unique_sql(c)])
@@ -183,7 +192,7 @@ FROM u GROUP BY GROUPING SETS ({sets})"""
     keys = " AND ".join(f"u.{k} = p.{k}" for k in q.PROBE_KEYS)
     out["count_in_range_probes"] = BASE + f"""
 , p AS (SELECT click_id, {_p(q.PROBE_KEYS)}, CAST(epoch(click_time) AS INTEGER) AS s FROM test)
-SELECT p.click_id, CAST(count(u.row_id) AS INTEGER) AS n_events
+SELECT p.click_id, CAST(count(u.row_id) AS BIGINT) AS n_events
 FROM p LEFT JOIN u ON {keys} AND u.{S} BETWEEN p.s - {-b} AND p.s + {f}
 GROUP BY p.click_id"""
     thr = fraction_threshold(q.SAMPLE_FRACTION)
@@ -192,12 +201,12 @@ SELECT row_id, split, {S} FROM u
 WHERE substr(md5(concat(CAST({q.SAMPLE_SEED} AS VARCHAR), '_', CAST(row_id AS VARCHAR))), 1, 32) < '{thr}'"""
     out["class_counts"] = BASE + "SELECT is_attributed, count(*) AS n_rows FROM train GROUP BY is_attributed"
     out["balanced_folds"] = BASE + folds_cte() + "SELECT fold, row_id, is_attributed FROM fs"
-    out["train_valid_split"] = BASE + folds_cte() + f"""
-, sz AS (SELECT fold, CAST(ceil(CAST(count(*) AS DOUBLE) * CAST({q.VALID_FRACTION} AS DOUBLE)) AS BIGINT) AS n
-         FROM fs GROUP BY fold),
-r AS (SELECT fs.*, row_number() OVER (PARTITION BY fold
-        ORDER BY md5(concat('{q.SPLIT_SEED}', '_', CAST(row_id AS VARCHAR))), row_id) AS rn FROM fs)
-SELECT r.fold, r.row_id, r.is_attributed, r.rn <= sz.n AS is_valid FROM r JOIN sz USING (fold)"""
+    out["train_valid_split"] = BASE + folds_cte() + HOLDOUT + (
+        "SELECT r.fold, r.row_id, r.is_attributed, r.rn <= sz.n AS is_valid FROM r JOIN sz USING (fold)")
+    out["fold_dataset"] = BASE + folds_cte() + HOLDOUT + f"""
+SELECT r.fold, r.rn <= sz.n AS is_valid, r.is_attributed, count(*) AS n_rows,
+       CAST({len(drop_features(names))} AS INTEGER) AS least_features, CAST({len(drop_features(names))} AS INTEGER) AS most_features
+FROM r JOIN sz USING (fold) GROUP BY ALL"""
     out["fold_training_set"] = BASE + feature_cte() + folds_cte() + (
         "SELECT fs.fold, fs.row_id, " + ", ".join(f'feat."{n}"' for n in names)
         + ", fs.is_attributed FROM fs JOIN feat USING (row_id)")

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.datetime import with_epoch_seconds
 from ..operators import folds as fo
 from ..operators import model as mo
-from ..operators.prep import after_cutoff, drop_features, require_features, take_split, union_clicks
+from ..operators.prep import (after_cutoff, drop_features, require_features, take_split, union_clicks,
+                              with_file_order_ids)
 from ..operators.testmap import map_test_ids, test_feature_set
 from ..schema import CLICK_ID, LABEL, ROW_ID, SPLIT
 from ..session import reliable_checkpoint
@@ -31,7 +32,7 @@ from .features import build_features, manifest_names, read_bucketed_features, re
 def ingest(spark: SparkSession, train_csv, supplement_csv, test_csv, out: str) -> None:
     """Typed CSVs to Parquet. The train row id is given once at ingest, in file
     order, and persisted with the rows; it is never recomputed after a shuffle."""
-    train = with_epoch_seconds(read_clicks_train(spark, train_csv)).withColumn(ROW_ID, F.monotonically_increasing_id())
+    train = with_file_order_ids(with_epoch_seconds(read_clicks_train(spark, train_csv, place=True)), f"{out}/train_placed")
     train.write.mode("overwrite").parquet(f"{out}/train")
     train = spark.read.parquet(f"{out}/train")
     supp = with_epoch_seconds(read_clicks_test(spark, supplement_csv))
@@ -49,8 +50,15 @@ def dev_sample(spark: SparkSession, out: str, fraction: float = 0.001, seed: int
          .write.mode("overwrite").parquet(f"{out}/{name}_small"))
 
 
+def id_offset(spark: SparkSession, out: str) -> int:
+    """The first row id after the train rows (one value): supplement ids start there."""
+    last = spark.read.parquet(f"{out}/train").agg(F.max(ROW_ID)).first()[0]
+    return 0 if last is None else last + 1
+
+
 def union_of(spark: SparkSession, out: str) -> DataFrame:
-    return union_clicks(spark.read.parquet(f"{out}/train"), spark.read.parquet(f"{out}/supplement_partial"))
+    return union_clicks(spark.read.parquet(f"{out}/train"), spark.read.parquet(f"{out}/supplement_partial"),
+                        id_offset(spark, out))
 
 
 def features(spark: SparkSession, out: str, buckets: int | None = None, table_prefix: str | None = None) -> None:
@@ -92,7 +100,7 @@ def test_set(spark: SparkSession, out: str) -> None:
     feats = read_features(spark, f"{out}/features", names)
     test = spark.read.parquet(f"{out}/test")
     supp = spark.read.parquet(f"{out}/supplement_partial")
-    test_feature_set(map_test_ids(test, supp), feats, names).write.mode("overwrite").parquet(f"{out}/test_set")
+    test_feature_set(map_test_ids(test, supp), feats, names, id_offset(spark, out)).write.mode("overwrite").parquet(f"{out}/test_set")
 
 
 def models(spark: SparkSession, out: str, params: mo.BoostParams | None = None) -> DataFrame:
@@ -103,9 +111,7 @@ def models(spark: SparkSession, out: str, params: mo.BoostParams | None = None)
     mo.save_models(fitted, f"{out}/models")
     test = spark.read.parquet(f"{out}/test_set")
     long = reliable_checkpoint(mo.predict_long(fitted, test, names))
-    for i in fitted:
-        mo.write_predictions(long.filter(F.col("fold") == i).withColumnRenamed("score", LABEL),
-                             f"{out}/predictions/fold={i}")
+    mo.write_predictions(long.withColumnRenamed("score", LABEL), f"{out}/predictions", by="fold")
     mean = mo.ensemble_mean(long)
     mo.write_predictions(mean, f"{out}/predictions/ensemble")
     return spark.read.parquet(f"{out}/test_set").select(CLICK_ID).join(mean, CLICK_ID, "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.datetime import date_time_features, with_epoch_seconds
@@ -14,7 +15,7 @@ from ..operators.combos import feature_combinations
 from ..operators.gaps import click_gaps
 from ..operators.groups import class_counts, cube_counts, group_click_count, time_bounds, unique_counts
 from ..operators.metrics import auc
-from ..operators.prep import after_cutoff, raw_features, require_features, take_split, union_clicks
+from ..operators.prep import after_cutoff, drop_features, raw_features, require_features, take_split, union_clicks
 from ..operators.ranges import count_in_range, count_in_range_for
 from ..operators.testmap import map_test_ids, test_feature_set
 from ..schema import (CLICK_ID, DATE_TIME_PARTS, ID_COLUMNS, LABEL, ROW_ID, SECONDS, SPLIT, TIME)
@@ -84,10 +85,6 @@ class Inputs:
         return test_clicks(self.supplement)
 
 
-def _union_keys(df: DataFrame) -> list[str]:
-    return [ROW_ID, SPLIT]
-
-
 # --- sources / projections -------------------------------------------------------
 
 def q_csv_roundtrip(spark, sf_dir):
@@ -282,19 +279,30 @@ MODEL_FAMILIES = FAMILIES
 def _model_inputs(spark, sf_dir):
     inp = Inputs(spark, sf_dir)
     feats, names = _written_features(spark, inp)
-    modelled = [n for n in names if n not in ("raw_channel", "raw_ip", "raw_device", "raw_os")]
+    modelled = drop_features(names)
     folds = fo.train_valid_split(_folds(inp), VALID_FRACTION, SPLIT_SEED)
     rows = reliable_checkpoint(fo.fold_features(folds, feats))
     return inp, feats, modelled, rows
 
 
 def q_bagged_gbt_auc(spark, sf_dir):
-    """Per fold: hold-out AUC of its model; plus the ensemble's AUC over all hold-outs."""
+    """Per fold: hold-out AUC of its model; fold -1: AUC of the mean score of each row that some model
+    holds out, over those models."""
     inp, feats, modelled, rows = _model_inputs(spark, sf_dir)
     models = mo.train_bagged_gbt(rows, modelled)
-    scored = mo.holdout_scores(models, rows, modelled)
-    per_fold = auc(scored, "score", LABEL, ["fold"]).select("fold", "auc", "n_pos", "n_neg")
-    return per_fold
+    scored = reliable_checkpoint(mo.holdout_scores(models, rows, modelled)).select("fold", ROW_ID, LABEL, "score")
+    pooled = scored.groupBy(ROW_ID, LABEL).agg(F.avg("score").alias("score")).withColumn("fold", F.lit(-1))
+    return auc(scored.unionByName(pooled), "score", LABEL, ["fold"]).select("fold", "auc", "n_pos", "n_neg")
+
+
+def q_fold_dataset(spark, sf_dir):
+    """The saved model-ready folds, read back: rows and vector widths per fold, hold-out flag and label."""
+    inp, feats, modelled, rows = _model_inputs(spark, sf_dir)
+    path = scratch_dir(spark, "fold_dataset")
+    mo.save_fold_dataset(rows, modelled, path)
+    width = F.size(vector_to_array(F.col("features")))
+    return (spark.read.parquet(path).groupBy(F.col("fold").cast("int").alias("fold"), "is_valid", F.col(LABEL).cast("int").alias(LABEL))
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.min(width).alias("least_features"), F.max(width).alias("most_features")))
 
 
 def q_holdout_scores(spark, sf_dir):
@@ -332,12 +340,9 @@ def q_ensemble_mean(spark, sf_dir):
     feats = feature_table(inp.union, ("raw",))
     test = test_feature_set(map_test_ids(inp.test, inp.partial), feats, ["raw_app", "raw_os"])
     base = scratch_dir(spark, "predictions")
-    paths = []
-    for i in range(N_FOLDS):
-        scored = test.withColumn("fold", F.lit(i)).select(CLICK_ID, fold_score().alias(LABEL))
-        mo.write_predictions(scored, f"{base}/fold={i}")
-        paths.append(f"{base}/fold={i}")
-    back = mo.read_predictions(spark, paths).withColumnRenamed(LABEL, "score")
+    scored = test.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(N_FOLDS - 1))))
+    mo.write_predictions(scored.select("fold", CLICK_ID, fold_score().alias(LABEL)), base, by="fold")
+    back = mo.read_predictions(spark, base).withColumnRenamed(LABEL, "score")
     return mo.ensemble_mean(back).select(CLICK_ID, F.round(LABEL, 9).alias(LABEL))
 
 
@@ -370,6 +375,7 @@ QUERIES = {
     "test_feature_set": q_test_feature_set,
     "auc_of_score": q_auc_of_score,
     "ensemble_mean": q_ensemble_mean,
+    "fold_dataset": q_fold_dataset,
     "bagged_gbt_auc": q_bagged_gbt_auc,
     "holdout_scores": q_holdout_scores,
     "cross_validate": q_cross_validate,

@@ -19,23 +19,26 @@ TEST_START = "2024-01-24 00:00:00"        # test: supplement clicks in [TEST_STA
 TEST_END = "2024-01-29 00:00:00"
 TEST_ID_OFFSET = 1_000_000                # new test click id = click id + this
 UNION_ID_OFFSET = 1_000_000_000_000       # row id of a supplement row in the union = click id + this
-DEFAULT_SEED_FRACTION = 0.001
+# Where a row stands in its input: file and start of the split it was read in.
+FILE, BLOCK = "__file", "__block"
 
 
-def _read_by_header(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
-    """Columns of ``schema`` by the names in the files' header, whatever their order; a missing one raises."""
+def _read_by_header(spark: SparkSession, path, schema: T.StructType, place: bool = False) -> DataFrame:
+    """Columns of ``schema`` by the names in the files' header, whatever their order; a missing one raises.
+    With ``place`` also each row's file and split start."""
     names = spark.read.option("header", True).csv(path).columns
     missing = [n for n in schema.names if n not in names]
     if missing:
         raise ValueError(f"columns missing in {path}: {missing}")
     in_file = T.StructType([schema[n] if n in schema.names else T.StructField(n, T.StringType()) for n in names])
+    where = [F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK)] if place else []
     return (spark.read.schema(in_file).option("header", True).option("enforceSchema", False)
-            .option("timestampFormat", TIME_FORMAT).option("mode", "FAILFAST").csv(path).select(*schema.names))
+            .option("timestampFormat", TIME_FORMAT).option("mode", "FAILFAST").csv(path).select(*schema.names, *where))
 
 
-def read_clicks_train(spark: SparkSession, path) -> DataFrame:
+def read_clicks_train(spark: SparkSession, path, place: bool = False) -> DataFrame:
     """Training clicks: 8 named columns, declared types, two time columns."""
-    return _read_by_header(spark, path, TRAIN_SCHEMA)
+    return _read_by_header(spark, path, TRAIN_SCHEMA, place)
 
 
 def read_clicks_test(spark: SparkSession, path) -> DataFrame:
