@@ -15,12 +15,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_sample(rows: DataFrame, labels: DataFrame, label: str, n: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``n`` rows of ``rows`` (doc_id, ...) with their ``label``, from training ids only.
+    """The rows of at most ``n`` ids of ``rows`` (doc_id, ...) with their ``label``, from training ids only.
 
-    An id that is labelled several times takes its largest label; null labels and ids do not train.
+    An id that is labelled several times takes its largest label; null labels and ids do not train, and labelled ids
+    that ``rows`` does not have take no place.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(4, 2)).groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = known.orderBy(*order).limit(n)
+    there = known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = there.orderBy(*order).limit(n)
     return rows.join(F.broadcast(chosen), "doc_id")  # at most n rows of two numbers
