@@ -37,8 +37,14 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+# A key in PEM form: up to its END line; where that is missing header lines, long base64 runs and a last short one
+# (white space, escaped line ends, quotes and comment marks stand between them).
+_GAP = r"""(?:[\x20\x09-\x0D"'+,>#*|]|\\[nrt])"""
+_PEM = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----|"
+        rf"(?:{_GAP}*+(?:Proc-Type|DEK-Info):[^\n\r\\]*+)*+(?:(?:{_GAP}*+[A-Za-z0-9+/]{{20,}}+={{0,2}})++"
+        rf"(?:{_GAP}++[A-Za-z0-9+/]{{1,19}}+(?:={{1,2}}|(?![^\n\r])))?)?)")
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", _PEM),
     Rule("github", r"(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35,}"),
