@@ -42,6 +42,11 @@ def as_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string").cast("binary"), F.lit("").cast("binary")).alias(name)
 
 
+def fingerprint(name: str = "text") -> Column:
+    """Hash of the text (null as empty): with the id it tells rows apart whose ids are equal or null."""
+    return F.xxhash64(as_bytes(name))
+
+
 def held_out(modulus: int, remainder: int, column: str = "doc_id") -> Column:
     """crc32 of the id as text modulo ``modulus`` is ``remainder`` (a null id counts as empty text)."""
     crc = F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

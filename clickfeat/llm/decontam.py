@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import documents, written
+from .common import documents, fingerprint, written
 
 WINDOW, STRIDE, COVER = 8, 4, 0.5
 #: Items of fewer template words are not searched for.
@@ -60,6 +60,11 @@ def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
 
 def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, stride: int = STRIDE, cover: float = COVER) -> DataFrame:
     """(doc_id, item_id, n_windows, n_found, coverage, n_slots, n_changed, consistent, leaked) of every pair found."""
+    return leaking_rows(docs, items, window, stride, cover).drop("print")
+
+
+def leaking_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, stride: int = STRIDE, cover: float = COVER) -> DataFrame:
+    """The columns of :func:`leaks` and ``print``, the fingerprint of the document's text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     items = written(items.select("item_id", text.alias("text")).distinct().select(
         "item_id", F.xxhash64("text").alias("item_print"), template_words(F.col("text")).alias("t"), raw_words(F.col("text")).alias("raw")).withColumn(
@@ -71,9 +76,9 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, stride: int =
         part = items.filter(F.col("size") == n).select(
             "item_id", "item_print", "size", F.size(windows(F.col("t"), n)).alias("n_windows"), F.posexplode(windows(F.col("t"), n)).alias("at", "hash"))
         item_windows = part if item_windows is None else item_windows.union(part)
-    rows = docs.select("doc_id", text.alias("text")).withColumn("print", F.xxhash64("text"))
+    rows = docs.select("doc_id", text.alias("text"), fingerprint().alias("print"))
     schema = ("doc_id long, item_id long, n_windows int, n_found long, coverage double, n_slots long, n_changed long, "
-              "consistent boolean, leaked boolean")
+              "consistent boolean, leaked boolean, print long")
     if item_windows is None:
         return docs.sparkSession.createDataFrame([], schema)
     item_windows = written(item_windows, "leak-windows")
@@ -126,7 +131,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, stride: int =
     return out.select("doc_id", "item_id", F.col("n_windows"), F.col("b.n").cast("long").alias("n_found"), coverage.alias("coverage"),
                       F.size("values").cast("long").alias("n_slots"),
                       F.size(F.filter("mapped", lambda v: v["item"] != v["doc"])).cast("long").alias("n_changed"),
-                      consistent.alias("consistent"), (consistent & (coverage >= cover)).alias("leaked"))
+                      consistent.alias("consistent"), (consistent & (coverage >= cover)).alias("leaked"), "print")
 
 
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from . import textops as tx
-from .common import as_bytes, documents, written
+from .common import as_bytes, documents, fingerprint, written
 
 SHINGLE_WORDS = 5
 THRESHOLD = 80
@@ -265,11 +265,12 @@ def asked_only(rows: DataFrame, key: list[str], asked: DataFrame, bits: int = FI
         F.broadcast(pieces), "_piece").filter(marked).select(*rows.columns)
 
 
-def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD,
-                       sketch_bits: int = SKETCH_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id."""
+def component_rows(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD,
+                   sketch_bits: int = SKETCH_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The columns of :func:`jaccard_components`, ``print`` (the text's fingerprint) and ``first``: whether id and print
+    are the smallest of the row's component (ids can be repeated or null, so ``component_id`` does not tell)."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(tx.NULL_ID)).alias("doc_id"), as_bytes()).withColumn("print", F.xxhash64("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(tx.NULL_ID)).alias("doc_id"), as_bytes(), fingerprint().alias("print"))
     texts = rows.select("text")
     member = written(rows.mapInArrow(_classes(k), "doc_id long, print long, n_shingles long, cls long"), "join-classes")
     # one row stands for its class: the smallest id, with the fingerprint of its text as ids can be repeated
@@ -337,13 +338,21 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int =
         labels = components(links.union(more))
 
     of_class = heads.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    least = of_class.groupBy("label").agg(F.min("head").alias("component"))
-    answer = of_class.join(least, "label").select("cls", "component")
+    least = of_class.groupBy("label").agg(F.min(F.struct("head", "print")).alias("least")).select(
+        "label", F.col("least.head").alias("component"), F.col("least.print").alias("least_print"))
+    answer = of_class.join(least, "label").select("cls", "component", "least_print")
     wordless = F.col("n_shingles") == 0
     null_safe = lambda c: F.when(c != F.lit(tx.NULL_ID), c)
     return member.join(answer, "cls", "left").select(
         null_safe(F.col("doc_id")).alias("doc_id"), "n_shingles",
-        null_safe(F.when(wordless, F.col("doc_id")).otherwise(F.col("component"))).alias("component_id"))
+        null_safe(F.when(wordless, F.col("doc_id")).otherwise(F.col("component"))).alias("component_id"), "print",
+        (wordless | ((F.col("doc_id") == F.col("component")) & (F.col("print") == F.col("least_print")))).alias("first"))
+
+
+def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD,
+                       sketch_bits: int = SKETCH_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id."""
+    return component_rows(docs, k, threshold, sketch_bits, block_rows).select("doc_id", "n_shingles", "component_id")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

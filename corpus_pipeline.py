@@ -4,29 +4,29 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 stage's input. The first four return the columns of ``documents``:
 
 1. ``toxicity``: documents that the classifier rejects (score at its cutoff or above) go.
-2. ``near_duplicates``: of each component of near copies the document with the smallest id stays (of rows that share
-   this id, the first by text); documents without words are no copies of each other and stay.
+2. ``near_duplicates``: of each component of near copies one row stays: the smallest id's (null ids last; of rows that
+   share this id, the one with the smallest fingerprint of its text); documents without words are no copies of each
+   other and stay.
 3. ``benchmark``: documents that leak a benchmark item go.
 4. ``secrets``: spans of secrets are replaced by a mark; ``n_chars`` follows the text.
 5. ``mix``: sources are brought to their target weights; documents that are not taken go, the others carry
    ``copies``, the number of times the mix takes them.
 
-Odd input follows the operators: null texts stay as they are (stage 5 drops them, as they have no words); rows with
-null ids are kept unless a decision of their own removes them.
+Odd input follows the operators: null texts stay as they are (stage 5 drops them, as they have no words). Verdicts of
+stages 1-3 travel by id (null-safely) and fingerprint of the text, so rows with repeated or null ids each get their own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
-from clickfeat.llm.common import documents, written
+from clickfeat.llm.common import documents, fingerprint, written
 from clickfeat.llm.cube_mix import mix_sources
-from clickfeat.llm.decontam import leaks
+from clickfeat.llm.decontam import leaking_rows
 from clickfeat.llm.learning import labels
-from clickfeat.llm.ngram_join import jaccard_components
+from clickfeat.llm.ngram_join import component_rows
 from clickfeat.llm.secret_scan import find_secrets, redacted
-from clickfeat.llm.toxic_cnn import toxicity
+from clickfeat.llm.toxic_cnn import verdicts
 
 
 def _print(docs: DataFrame) -> DataFrame:
@@ -34,31 +34,33 @@ def _print(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_print", F.xxhash64("text"))
 
 
-def _keep(docs: DataFrame, verdict: DataFrame, gone: bool) -> DataFrame:
-    """Rows of ``docs`` whose id (null-safely) is in ``verdict`` (or is not, if ``gone``)."""
-    other = verdict.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(other, docs["doc_id"].eqNullSafe(other["_id"]), "left_anti" if gone else "left_semi")
+def _same(docs: DataFrame):
+    """Rows of ``docs`` against the ``_id`` and ``_of`` (fingerprint of the text) of a verdict."""
+    return docs["doc_id"].eqNullSafe(F.col("_id")) & (fingerprint() == F.col("_of"))
+
+
+def _without(docs: DataFrame, verdict: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id and text are not in ``verdict`` (doc_id, print)."""
+    other = verdict.select(F.col("doc_id").alias("_id"), F.col("print").alias("_of")).distinct()
+    return docs.join(other, _same(docs), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdict = toxicity(docs, labels(spark, sf_dir))
-    return _keep(docs, verdict.filter("predicted = 1 and doc_id is not null"), gone=True)
+    return _without(docs, verdicts(docs, labels(spark, sf_dir)).filter("predicted = 1"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_components(docs).filter("n_shingles > 0 and doc_id is not null")
-    # one row per id that is a copy, or that several rows share
-    verdict = found.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.max(F.col("component_id") != F.col("doc_id")).alias("_copy"), (F.count("*") > 1).alias("_shared")).filter("_copy or _shared")
-    rows = docs.join(verdict, docs["doc_id"] == verdict["_id"], "left").filter("not coalesce(_copy, false)")
-    shared = _print(rows.filter("_shared"))
-    first = shared.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "_print"))).filter("_n = 1")
-    return rows.filter("_shared is null").select(*docs.columns).unionByName(first.select(*docs.columns))
+    found = component_rows(docs).filter("n_shingles > 0")
+    # one row per id and text that is a copy, or that several rows share
+    verdict = found.groupBy(F.col("doc_id").alias("_id"), F.col("print").alias("_of")).agg(
+        F.max(~F.col("first")).alias("_copy"), (F.count("*") > 1).alias("_shared")).filter("_copy or _shared")
+    rows = docs.join(verdict, _same(docs), "left").filter("not coalesce(_copy, false)")
+    once = rows.filter("_shared").dropDuplicates(["_id", "_of"])
+    return rows.filter("_shared is null").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _keep(docs, found.filter("leaked and doc_id is not null"), gone=True)
+    return _without(docs, leaking_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("leaked"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -341,3 +341,28 @@ def test_pipeline(spark, odd, tmp_path):
                 assert docs.columns == columns
         rows = docs.collect()
         assert rows and all(r["copies"] in (1, 2) and r["text"] for r in rows)
+
+
+def test_pipeline_decides_row_by_row(spark, tmp_path):
+    import corpus_pipeline
+    sf = str(tmp_path)
+    item = "whose turn is it to carry the old wooden boat down to the river before the rain begins again tomorrow"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(1, 200)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+    train = [(i, f"{'vile' if i % 2 else 'kind'} " * 30, "en") for i in range(1, 200)]
+    words = lambda a: " ".join(f"w{a}x{i}" for i in range(40))
+    bad, copy = "vile " * 31, words("c")
+    rows = [(500, words("a"), "en"), (500, words("b"), "en"), (500, bad, "en"), (500, "see " + item, "en"), (None, bad, "en"), (None, "see " + item, "en"),
+            (None, words("d"), "en"), (501, copy, "en"), (500, copy + " more", "en"), (None, copy, "en"), (None, copy + " other", "en"),
+            (502, words("e"), "en"), (502, words("e"), "en"), (None, words("f"), "en"), (None, words("f") + " on", "en"), (None, None, "en"), (503, "", "en")]
+    docs = spark.createDataFrame(train + rows, "doc_id long, text string, lang string")
+    of = lambda df: sorted([tuple(r)[:2] for r in df.filter("doc_id is null or doc_id >= 500").collect()], key=key)
+    had = [r[:2] for r in rows]
+    toxic = {(500, bad), (None, bad)}
+    assert of(corpus_pipeline.drop_toxic(spark, docs, sf)) == sorted([r for r in had if r not in toxic], key=key)
+    assert of(corpus_pipeline.drop_benchmark(spark, docs, sf)) == sorted([r for r in had if not (r[1] or "").startswith("see")], key=key)
+    got = of(corpus_pipeline.drop_near_duplicates(spark, docs, sf))
+    copies = {(501, copy), (None, copy), (None, copy + " other"), (None, bad), (500, bad), (None, "see " + item)}  # a row of the training texts stays for bad
+    fs = {(None, words("f")), (None, words("f") + " on")}
+    rest = [r for r in dict.fromkeys(had) if r not in copies | fs]
+    assert [r for r in got if r not in fs] == sorted(rest, key=key) and sum(r in fs for r in got) == 1
