@@ -6,8 +6,9 @@ slots agree: the values behind equal placeholders must map one to one (all the s
 question with new parameters).
 
 1. All windows of ``WINDOW`` template words of the items are hashed. Documents probe with every ``STRIDE``-th window,
-   which finds every shared run of ``WINDOW + STRIDE - 1`` template words. Items shorter than that are probed
-   with windows of their own length at every place.
+   or more often where an item reaches ``COVER`` with shorter runs (:func:`longest_run`), so that no document that
+   reaches it is missed. Items under ``WINDOW + STRIDE - 1`` words are probed with windows of their own length at
+   every place.
 2. Only documents with a hit are cut into all windows, joined with the items', and their slots compared.
 
 A pair leaks when at least ``COVER`` of the item's windows are found and its slots are consistent. The item side is
@@ -54,6 +55,15 @@ def windows(words: Column, size: int, stride: int = 1) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i + 1, size)))
 
 
+def longest_run(n_windows: Column, window: int, cover: float) -> Column:
+    """Windows in a row that are found at least in any document that reaches ``cover`` of an item's windows.
+
+    A word put in takes ``window - 1`` windows away, any other change more: that bounds the number of runs.
+    """
+    need = F.greatest(F.ceil(n_windows * cover), F.lit(1))
+    return F.ceil(need / (1 + F.floor((n_windows - need) / max(window - 1, 1))))
+
+
 def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_WINDOWS else df
 
@@ -89,6 +99,8 @@ def leaking_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, stride
     # short items are windows of a size of their own, probed at every place; an item of exactly a window's words too
     short = {r["size"] for r in items.filter(F.size("t") == F.col("size")).select("size").distinct().collect()}
     none = F.array().cast("array<struct<size:int,hash:bigint>>")
+    runs = item_windows.filter((F.col("size") == window) & (F.col("n_windows") > 1)).agg(F.min(longest_run(F.col("n_windows"), window, cover)).alias("n")).first()
+    stride = min(stride, runs["n"] or stride)
 
     def sized(n):
         tagged = F.transform(windows(F.col("t"), n, 1 if n in short else stride), lambda h: F.struct(F.lit(n).alias("size"), h.alias("hash")))

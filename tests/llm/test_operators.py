@@ -251,6 +251,23 @@ def test_op4_finds_copies_and_new_parameters(spark):
     assert got[1, 10]["n_changed"] == 0 and got[2, 10]["n_changed"] > 0 and not got[3, 10]["consistent"]
 
 
+def leaked_pairs(spark, docs, items):
+    out = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    return {(r["doc_id"], r["item_id"]) for r in out.filter("leaked").collect()}
+
+
+def test_op4_finds_least_runs_at_every_offset(spark):
+    items = [(n, " ".join(f"{chr(97 + n)}{chr(97 + i)}q" for i in range(n))) for n in (11, 12, 13, 14, 15, 20, 21, 25)]
+    docs, want = [], set()
+    for n, text in items:
+        words = text.split()
+        for at in range(4):
+            windows = -(-(n - 7) // 2)
+            docs.append((100 * n + at, "zz " * at + " ".join(words[:windows + 7])))
+            want.add((100 * n + at, n))
+    assert leaked_pairs(spark, docs, items) == want
+
+
 def test_op4_finds_all_shared_runs_on_sf(spark):
     docs, items = documents(spark, SF), spark.read.parquet(f"{SF}/benchmark.parquet")
     word = re.compile(r"[^\W_]+")
