@@ -11,6 +11,11 @@ question with new parameters).
    every place.
 2. Only documents with a hit are cut into all windows, joined with the items', and their slots compared.
 
+What stands before an item decides whether its first word is a name (or a unit) in a document: windows of documents
+that begin with such a placeholder also count with the word itself. Items of fewer than ``LEAST_WORDS`` template words
+have no template to speak of: they leak into documents that hold their raw words in a row (one window, coverage 1), an
+item of one word into documents that are this word alone, or that hold it if it is in a script without spaces.
+
 A pair leaks when at least ``COVER`` of the item's windows are found and its slots are consistent. The item side is
 broadcast only under ``BROADCAST_WINDOWS`` windows. Odd input: null or empty texts and items have no words and match
 nothing; null ids are kept as null ids; rows with equal id and text give one result per pair.
@@ -23,8 +28,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import documents, fingerprint, written
 
 WINDOW, STRIDE, COVER = 8, 4, 0.5
-#: Items of fewer template words are not searched for.
+#: Items of fewer template words are searched for by their raw words only.
 LEAST_WORDS = 4
+#: A word with such characters can be a clause.
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 BROADCAST_WINDOWS = 1_000_000
 
 NUM, NAME, UNIT = "\ue000", "\ue001", "\ue002"
@@ -55,6 +62,37 @@ def windows(words: Column, size: int, stride: int = 1) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i + 1, size)))
 
 
+def lead_windows(words: Column, raw: Column, size: int) -> Column:
+    """:func:`windows`, as (place, hash), and those that begin with a name or unit also with the word itself."""
+    plain = F.transform(windows(words, size), lambda h, i: F.struct(i.alias("place"), h.alias("hash")))
+    open_ = F.filter(F.transform(plain, lambda w: w["place"]), lambda i: F.element_at(words, i + 1).isin(NAME, UNIT))
+    word = lambda i: F.array(F.lower(F.try_element_at(raw, i + 1)))
+    return F.concat(plain, F.transform(open_, lambda i: F.struct(i.alias("place"), F.xxhash64(F.concat(word(i), F.slice(words, i + 2, size - 1))).alias("hash"))))
+
+
+def short_leaks(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """The columns of :func:`leaking_rows` for items below ``LEAST_WORDS`` template words: exact runs of raw words."""
+    low = lambda c: F.transform(raw_words(F.col(c)), F.lower)
+    asked = items.withColumn("w", low("text")).withColumn("n", F.size("w")).filter("n > 0").select(
+        "item_id", "n", F.xxhash64("w").alias("hash"), ((F.col("n") == 1) & ~F.concat_ws("", "w").rlike(_UNSPACED)).alias("alone"))
+    asked = written(asked, "leak-short")
+    sizes = sorted(r["n"] for r in asked.select("n").distinct().collect())
+    if not sizes:
+        return None
+    words = rows.select("doc_id", "print", low("text").alias("w"))
+    none = F.array().cast("array<struct<n:int,hash:bigint>>")
+
+    def sized(n):
+        return F.coalesce(F.transform(windows(F.col("w"), n), lambda h: F.struct(F.lit(n).alias("n"), h.alias("hash"))), none)
+
+    runs = words.select("doc_id", "print", F.size("w").alias("size"), F.explode(F.array_distinct(F.concat(*[sized(n) for n in sizes]))).alias("r"))
+    found = runs.select("doc_id", "print", "size", "r.n", "r.hash").join(_maybe_broadcast(asked, asked.count()), ["n", "hash"])
+    # rows with equal id and text give one result
+    return found.filter("not alone or size = 1").select("doc_id", "item_id", "print").distinct().selectExpr(
+        "doc_id", "item_id", "1 as n_windows", "1L as n_found", "1D as coverage", "0L as n_slots", "0L as n_changed", "true as consistent",
+        "true as leaked", "print")
+
+
 def longest_run(n_windows: Column, window: int, cover: float) -> Column:
     """Windows in a row that are found at least in any document that reaches ``cover`` of an item's windows.
 
@@ -77,20 +115,22 @@ def leaking_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, stride
     """The columns of :func:`leaks` and ``print``, the fingerprint of the document's text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     items = written(items.select("item_id", text.alias("text")).distinct().select(
-        "item_id", F.xxhash64("text").alias("item_print"), template_words(F.col("text")).alias("t"), raw_words(F.col("text")).alias("raw")).withColumn(
+        "item_id", "text", F.xxhash64("text").alias("item_print"), template_words(F.col("text")).alias("t"), raw_words(F.col("text")).alias("raw")).withColumn(
         # a shorter item is one window
-        "size", F.when(F.size("t") >= window + stride - 1, F.lit(window)).otherwise(F.size("t"))).filter(F.col("size") >= LEAST_WORDS), "leak-items")
+        "size", F.when(F.size("t") >= window + stride - 1, F.lit(window)).otherwise(F.size("t"))), "leak-items")
+    rows = docs.select("doc_id", text.alias("text"), fingerprint().alias("print"))
+    short_found = short_leaks(rows, items.filter(F.col("size") < LEAST_WORDS).select("item_id", "text"))
+    items = items.filter(F.col("size") >= LEAST_WORDS).drop("text")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     item_windows = None
     for n in sizes:
         part = items.filter(F.col("size") == n).select(
             "item_id", "item_print", "size", F.size(windows(F.col("t"), n)).alias("n_windows"), F.posexplode(windows(F.col("t"), n)).alias("at", "hash"))
         item_windows = part if item_windows is None else item_windows.union(part)
-    rows = docs.select("doc_id", text.alias("text"), fingerprint().alias("print"))
     schema = ("doc_id long, item_id long, n_windows int, n_found long, coverage double, n_slots long, n_changed long, "
               "consistent boolean, leaked boolean, print long")
     if item_windows is None:
-        return docs.sparkSession.createDataFrame([], schema)
+        return short_found or docs.sparkSession.createDataFrame([], schema)
     item_windows = written(item_windows, "leak-windows")
     n_rows = item_windows.count()
 
@@ -107,7 +147,11 @@ def leaking_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, stride
         return F.coalesce(tagged, none)
 
     probes = F.concat(*[sized(n) for n in sizes])
-    asked = item_windows.select("size", "hash").distinct()
+    # an item's first word as the placeholder that it may be in a document
+    first = items.filter(F.element_at("raw", 1).rlike(r"^\p{Lu}[\p{Ll}\p{M}]+$")).withColumn("as", F.lit(NAME)).unionByName(
+        items.filter(F.element_at("t", 1).isin(*UNITS.split())).withColumn("as", F.lit(UNIT)))
+    first = first.select("size", F.xxhash64(F.concat(F.array("as"), F.expr("slice(t, 2, size - 1)"))).alias("hash"))
+    asked = item_windows.select("size", "hash").union(first).distinct()
     hit = probe.select("doc_id", "print", F.explode(probes).alias("w")).select("doc_id", "print", "w.size", "w.hash").join(
         _maybe_broadcast(asked, n_rows), ["size", "hash"], "left_semi").select(F.col("doc_id").alias("k1"), F.col("print").alias("k2")).distinct()
 
@@ -117,7 +161,8 @@ def leaking_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, stride
     near = written(near.dropDuplicates(["doc_id", "print"]), "leak-near")
     found = None
     for n in sizes:
-        part = near.select("doc_id", "print", F.lit(n).alias("size"), F.posexplode(windows(F.col("t"), n)).alias("place", "hash"))
+        part = near.select("doc_id", "print", F.lit(n).alias("size"), F.explode(lead_windows(F.col("t"), F.col("raw"), n)).alias("w")).select(
+            "doc_id", "print", "size", "w.place", "w.hash")
         found = part if found is None else found.union(part)
     found = found.join(_maybe_broadcast(item_windows, n_rows), ["size", "hash"])
     pair = ["doc_id", "print", "item_id", "item_print"]
@@ -140,10 +185,11 @@ def leaking_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, stride
     right = F.size(F.array_distinct(F.transform("mapped", lambda v: v["doc"])))
     consistent = (F.size("mapped") == left) & (F.size("mapped") == right)
     coverage = F.col("b.n") / F.col("n_windows")
-    return out.select("doc_id", "item_id", F.col("n_windows"), F.col("b.n").cast("long").alias("n_found"), coverage.alias("coverage"),
+    out = out.select("doc_id", "item_id", F.col("n_windows"), F.col("b.n").cast("long").alias("n_found"), coverage.alias("coverage"),
                       F.size("values").cast("long").alias("n_slots"),
                       F.size(F.filter("mapped", lambda v: v["item"] != v["doc"])).cast("long").alias("n_changed"),
                       consistent.alias("consistent"), (consistent & (coverage >= cover)).alias("leaked"), "print")
+    return out.unionByName(short_found) if short_found else out
 
 
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

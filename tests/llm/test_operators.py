@@ -268,6 +268,18 @@ def test_op4_finds_least_runs_at_every_offset(spark):
     assert leaked_pairs(spark, docs, items) == want
 
 
+def test_op4_first_words_and_short_items(spark):
+    items = [(1, "What is the capital of France?"), (2, "Which river runs through the middle of every old town in Austria"),
+             (3, "Purple zebra dance"), (4, "法国的首都是哪一座城市"), (5, "seconds make up one hour of time"), (6, "Yes")]
+    docs = [(1, "Sample quiz\nWhat is the capital of France?"), (2, "The answer is Vienna\n" + items[1][1]), (3, "see: purple Zebra dance now"),
+            (4, "问题，法国的首都是哪一座城市？"), (5, "yes it is"), (6, "count to 12\nseconds make up one hour of time"), (7, "Yes!"),
+            (8, "Sample quiz\nPaul is the capital of France?"), (9, "What is the capital of Spain?"), (10, "zebra purple dance")]
+    docs += [(20 + n, "w " * n + "so\n" + items[1][1]) for n in range(4)]
+    want = {(1, 1), (2, 2), (3, 3), (4, 4), (6, 5), (7, 6), (9, 1)} | {(20 + n, 2) for n in range(4)}
+    assert leaked_pairs(spark, docs, items) == want
+    assert leaked_pairs(spark, docs, items[2:4]) == {(3, 3), (4, 4)}
+
+
 def test_op4_finds_all_shared_runs_on_sf(spark):
     docs, items = documents(spark, SF), spark.read.parquet(f"{SF}/benchmark.parquet")
     word = re.compile(r"[^\W_]+")
