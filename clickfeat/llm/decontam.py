@@ -16,7 +16,8 @@ that begin with such a placeholder also count with the word itself. Items of few
 have no template to speak of: they leak into documents that hold their raw words in a row (one window, coverage 1), an
 item of one word into documents that are this word alone, or that hold it if it is in a script without spaces.
 
-A pair leaks when at least ``COVER`` of the item's windows are found and its slots are consistent. The item side is
+A pair leaks when at least ``COVER`` of the item's windows are found, in order in the item and in the document (words may
+be put in, left out or replaced between them: :func:`best_chain`), and its slots are consistent. The item side is
 broadcast only under ``BROADCAST_WINDOWS`` windows. Odd input: null or empty texts and items have no words and match
 nothing; null ids are kept as null ids; rows with equal id and text give one result per pair.
 """
@@ -102,6 +103,75 @@ def longest_run(n_windows: Column, window: int, cover: float) -> Column:
     return F.ceil(need / (1 + F.floor((n_windows - need) / max(window - 1, 1))))
 
 
+def shift_runs(ats: Column, shift: Column) -> Column:
+    """Sorted places of windows of an item at one shift as runs (last, first, shift)."""
+    has = lambda k: lambda a: F.array_contains(ats, a + k)
+    ends = F.arrays_zip(F.filter(ats, lambda a: ~has(1)(a)).alias("last"), F.filter(ats, lambda a: ~has(-1)(a)).alias("first"))
+    return F.transform(ends, lambda e: F.struct(e["last"].alias("last"), e["first"].alias("first"), shift.alias("shift")))
+
+
+_RUNS = "array<struct<last:int,first:int,shift:int>>"
+
+
+def best_chain(runs: Column) -> Column:
+    """(n, runs) of the chain with the most windows whose places increase in the item and in the document.
+
+    Of these the one that changes its shift least, then the earliest in the document. A run that overlaps the one
+    before it gives its windows after that.
+    """
+    chain = f"struct<n:int,back:int,early:int,runs:{_RUNS}>"
+
+    def extended(c, r):
+        end = F.element_at(c["runs"], -1)
+        first = F.greatest(r["first"], end["last"] + 1 + F.greatest(F.lit(0), end["shift"] - r["shift"]))
+        rest = F.struct(r["last"].alias("last"), first.alias("first"), r["shift"].alias("shift"))
+        longer = F.struct((c["n"] + r["last"] - first + 1).alias("n"), (c["back"] - (end["shift"] != r["shift"]).cast("int")).alias("back"),
+                          c["early"].alias("early"), F.concat(c["runs"], F.array(rest)).alias("runs"))
+        return F.when(first <= r["last"], longer)
+
+    def add(chains, r):
+        alone = F.struct((r["last"] - r["first"] + 1).alias("n"), F.lit(0).alias("back"), (-r["first"] - r["shift"]).alias("early"), F.array(r).alias("runs"))
+        longest = F.array_max(F.concat(F.array(alone), F.transform(chains, lambda c: extended(c, r))).cast(f"array<{chain}>"))
+        return F.concat(chains, F.array(longest))
+
+    chains = F.aggregate(F.array_sort(runs).cast(_RUNS), F.array().cast(f"array<{chain}>"), add)
+    return F.transform(F.array(F.array_max(chains)), lambda c: F.struct(c["n"].alias("n"), c["runs"].alias("runs")))[0]
+
+
+def _value(t: Column, raw: Column, i: Column) -> Column:
+    """All words of the value that the placeholder at ``i`` is part of: neighbours with the same placeholder."""
+    other = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda j: F.try_element_at(t, j + 1) != F.try_element_at(t, i + 1))
+    low = F.coalesce(F.array_max(F.filter(other, lambda j: j < i)), F.lit(-1)) + 1
+    high = F.coalesce(F.array_min(F.filter(other, lambda j: j > i)), F.size(t)) - 1
+    return F.lower(F.array_join(F.slice(raw, low + 1, high - low + 1), " "))
+
+
+def judged(cover: float):
+    """(leaked, n, ...) of a chain: its slots' values, each at the shift of its own windows, map one to one.
+
+    Values are read word by word, or else, where a run ends inside the item at a slot, with all their words (a value may
+    have more words than the item's: its other words are then beside the run).
+    """
+    def of(c):
+        at = lambda words, i: F.lower(F.try_element_at(words, (i + 1).cast("int")))
+        is_slot = lambda p: F.element_at("item_t", (p + 1).cast("int")).isin(NUM, NAME, UNIT)
+        edge = lambda p, r: ((p == r["first"]) & (p > 0)) | ((p == r["last"] + F.col("size") - 1) & (p < F.size("item_t") - 1))
+        slots = F.flatten(F.transform(c["runs"], lambda r: F.transform(
+            F.filter(F.sequence(r["first"], r["last"] + F.col("size") - 1), is_slot),
+            lambda p: F.struct(p.alias("p"), (p + r["shift"]).alias("q"), edge(p, r).alias("edge")))))
+        words = lambda s: F.struct(at(F.col("item_raw"), s["p"]).alias("item"), at(F.col("doc_raw"), s["q"]).alias("doc"))
+        whole = lambda s: F.when(s["edge"], F.struct(
+            _value(F.col("item_t"), F.col("item_raw"), s["p"]).alias("item"), _value(F.col("doc_t"), F.col("doc_raw"), s["q"]).alias("doc"))).otherwise(words(s))
+        distinct = lambda x, name: F.size(F.array_distinct(F.transform(x, lambda v: v[name])))
+        fits = lambda m: (F.size(m) == distinct(m, "item")) & (F.size(m) == distinct(m, "doc"))
+        single, full = F.array_distinct(F.transform(slots, words)), F.array_distinct(F.transform(slots, whole))
+        consistent = fits(single) | fits(full)
+        mapped = F.when(fits(single) | ~fits(full), single).otherwise(full)
+        return F.struct((consistent & (c["n"] / F.col("n_windows") >= cover)).alias("leaked"), c["n"].alias("n"), consistent.alias("consistent"),
+                        distinct(slots, "p").alias("n_slots"), F.size(F.filter(mapped, lambda v: v["item"] != v["doc"])).alias("n_changed"))
+    return of
+
+
 def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_WINDOWS else df
 
@@ -166,29 +236,22 @@ def leaking_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, stride
         found = part if found is None else found.union(part)
     found = found.join(_maybe_broadcast(item_windows, n_rows), ["size", "hash"])
     pair = ["doc_id", "print", "item_id", "item_print"]
-    # one place per window of the item: the alignment (place - at) that most windows share
+    # runs of windows at one shift (place - at), and their best chain or the single shift that most windows share
     aligned = found.withColumn("shift", F.col("place") - F.col("at")).groupBy(*pair, "size", "n_windows", "shift").agg(
-        F.collect_set("at").alias("ats"))
+        F.array_sort(F.collect_set("at")).alias("ats"))
     best = aligned.groupBy(*pair, "size", "n_windows").agg(
-        F.max(F.struct(F.size("ats").alias("n"), (-F.col("shift")).alias("back"), F.col("ats").alias("ats"))).alias("b"))
+        F.flatten(F.collect_list(shift_runs(F.col("ats"), F.col("shift")))).alias("runs"),
+        F.max(F.struct(F.size("ats").alias("n"), (-F.col("shift")).alias("back"), shift_runs(F.col("ats"), F.col("shift")).alias("runs"))).alias("b"))
+    best = best.withColumn("chains", F.array(F.struct(F.col("b.n").alias("n"), F.col("b.runs").alias("runs")), best_chain(F.col("runs")))).drop("runs", "b")
     full = best.alias("b0").join(near.alias("n0"), F.expr("b0.doc_id <=> n0.doc_id and b0.print = n0.print")).select(
-        "b0.*", F.col("n0.raw").alias("doc_raw"))
+        "b0.*", F.col("n0.t").alias("doc_t"), F.col("n0.raw").alias("doc_raw"))
     full = full.alias("f0").join(items.select("item_id", "item_print", "t", "raw").alias("i0"),
                                  F.expr("f0.item_id <=> i0.item_id and f0.item_print = i0.item_print")).select(
         "f0.*", F.col("i0.t").alias("item_t"), F.col("i0.raw").alias("item_raw"))
-    covered = F.array_distinct(F.flatten(F.transform(F.col("b.ats"), lambda a: F.sequence(a, a + F.col("size") - 1))))
-    slots = F.filter(covered, lambda p: F.element_at("item_t", (p + 1).cast("int")).isin(NUM, NAME, UNIT))
-    values = F.transform(slots, lambda p: F.struct(F.lower(F.element_at("item_raw", (p + 1).cast("int"))).alias("item"),
-                                                   F.lower(F.try_element_at("doc_raw", (p - F.col("b.back") + 1).cast("int"))).alias("doc")))
-    out = full.withColumn("values", values).withColumn("mapped", F.array_distinct("values"))
-    left = F.size(F.array_distinct(F.transform("mapped", lambda v: v["item"])))
-    right = F.size(F.array_distinct(F.transform("mapped", lambda v: v["doc"])))
-    consistent = (F.size("mapped") == left) & (F.size("mapped") == right)
-    coverage = F.col("b.n") / F.col("n_windows")
-    out = out.select("doc_id", "item_id", F.col("n_windows"), F.col("b.n").cast("long").alias("n_found"), coverage.alias("coverage"),
-                      F.size("values").cast("long").alias("n_slots"),
-                      F.size(F.filter("mapped", lambda v: v["item"] != v["doc"])).cast("long").alias("n_changed"),
-                      consistent.alias("consistent"), (consistent & (coverage >= cover)).alias("leaked"), "print")
+    result = F.array_max(F.transform("chains", judged(cover)))
+    out = full.withColumn("r", result).select(
+        "doc_id", "item_id", "n_windows", F.col("r.n").cast("long").alias("n_found"), (F.col("r.n") / F.col("n_windows")).alias("coverage"),
+        F.col("r.n_slots").cast("long").alias("n_slots"), F.col("r.n_changed").cast("long").alias("n_changed"), "r.consistent", "r.leaked", "print")
     return out.unionByName(short_found) if short_found else out
 
 

@@ -268,6 +268,23 @@ def test_op4_finds_least_runs_at_every_offset(spark):
     assert leaked_pairs(spark, docs, items) == want
 
 
+def test_op4_chains_windows_over_shifts(spark):
+    words = [f"{chr(97 + i // 6)}{chr(97 + i % 6)}q" for i in range(40)]
+    text = " ".join(words)
+    put, out = words[:15] + ["zz"] + words[15:30], words[:20] + words[21:40]
+    slot = "the price that Tom paid for 30 small boxes of tea at the harbour shop was not 1,000 as they wrote but so much more that Tom left the town for good"
+    docs = [(1, " ".join(put)), (2, "zz " + " ".join(out)), (3, slot.replace("Tom", "Mary Ann")), (4, slot.replace("1,000", "1 000")),
+            (5, " ".join(words[20:30] + words[:10])), (6, "so " + text + " and so " + text), (7, slot.replace("Tom", "Paul").replace("30", "7"))]
+    items = [(1, " ".join(words[:30])), (2, text), (3, slot)]
+    got = {(r["doc_id"], r["item_id"]): r for r in decontam.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert (got[1, 1]["n_windows"], got[1, 1]["n_found"], got[1, 1]["leaked"]) == (23, 16, True)
+    assert (got[2, 2]["n_windows"], got[2, 2]["n_found"], got[2, 2]["leaked"]) == (33, 25, True)
+    assert got[3, 3]["leaked"] and got[4, 3]["leaked"] and got[7, 3]["leaked"] and got[7, 3]["n_changed"] == 2
+    assert got[5, 1]["n_found"] == 3 and not got[5, 1]["leaked"]  # the other way round in the document
+    assert got[6, 1]["n_found"] == 23 and got[6, 2]["n_found"] == 33
+
+
 def test_op4_first_words_and_short_items(spark):
     items = [(1, "What is the capital of France?"), (2, "Which river runs through the middle of every old town in Austria"),
              (3, "Purple zebra dance"), (4, "法国的首都是哪一座城市"), (5, "seconds make up one hour of time"), (6, "Yes")]
