@@ -8,7 +8,7 @@ A model file of the sentencepiece library (kind BPE) is read once on the driver;
   be kept beside it.
 * **Pieces.** Neighbouring symbols are merged, best score first and leftmost among equals. Where no piece of
   the vocabulary holds two neighbouring characters in a row, nothing can merge across them: texts are cut there (before
-  white space, around line breaks), each distinct part is encoded once per task and remembered within a byte bound.
+  white space, around line breaks, before punctuation after a letter), each distinct part is encoded once per task and remembered within a byte bound.
   Symbols outside the vocabulary become byte pieces.
 * **Spans.** The lengths of the pieces in the normalised text are added up and looked up in the alignment: begin and end
   (bytes of the original text) of every piece; of a character in byte pieces the last one has the span.
@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import string
 import struct
 from itertools import chain
 
@@ -38,9 +39,10 @@ SPACE = "▁"
 _MARK = SPACE.encode()
 _WRONG = "�".encode()
 #: Bytes of parts and characters that a task remembers, and the longest part it does.
-REMEMBER_BYTES, LONGEST_PART = 32 << 20, 64
+REMEMBER_BYTES, LONGEST_PART = 64 << 20, 64
 #: Up to this many symbols the best pair is looked for anew after every merge.
 SHORT = 20
+_NEVER = float("inf")
 
 
 def character(data: bytes, at: int) -> int:
@@ -115,18 +117,33 @@ class Codec:
                 raise ValueError("user-defined and unused pieces are not supported")
             self.out.append(text)
         self.byte_ids = set(self.bytes.values())
+        self.size = np.array([len(p.piece.encode()) for p in proto.pieces])
+        self.is_byte = np.zeros(len(self.out), bool)
+        self.is_byte[list(self.byte_ids)] = True
+        self.size[self.is_byte] = 1
+        self.follows = self.is_byte.copy()  # byte pieces inside a character
+        self.follows[[i for b, i in self.bytes.items() if b & 0xC0 != 0x80]] = False
         if len(self.bytes) not in (0, 256):
             raise ValueError("some byte pieces are missing")
-        pairs = {p[i:i + 2] for p in self.ranks for i in range(len(p) - 1)}
-        letters = {c for p in pairs for c in p}
-        # no piece holds these in a row with another character
-        alone = "".join(re.escape(c) for c in "\t\n\r\x0b\x0c" if c not in letters)
-        inner = any(p[0] != SPACE and p[1] == SPACE for p in pairs)
-        one = f"[{alone}]|" if alone else ""
-        self.parts = None if inner else re.compile(f"{one}{SPACE}*[^{SPACE}{alone}]+|{SPACE}+")
+        self.parts = self._cuts({p[i:i + 2] for p in self.ranks for i in range(len(p) - 1)})
         self.known: dict[str, tuple] = {}
         self.left = REMEMBER_BYTES
 
+    @staticmethod
+    def _cuts(pairs: set[str]) -> re.Pattern | None:
+        """Parts of a normalised text between which no piece of the vocabulary (its ``pairs`` of neighbours) can stand."""
+        if any(p[0] != SPACE and p[1] == SPACE for p in pairs):
+            return None  # pieces go on over white space: one part
+        letters = {c for p in pairs for c in p}
+        alone = "".join(re.escape(c) for c in "\t\n\r\x0b\x0c" if c not in letters)
+        # punctuation that binds with no ASCII letter or digit before it, and what other characters it does bind with
+        marks = {m for m in string.punctuation if not any(p[1] == m and p[0].isascii() and p[0].isalnum() for p in pairs)}
+        binding = "".join(re.escape(c) for c in sorted({p[0] for p in pairs if p[1] in marks and p[0] not in marks and p[0] != SPACE}))
+        mark = "[" + "".join(map(re.escape, sorted(marks))) + "]" if marks else "(?!)."
+        other = f"[^{SPACE}{alone}" + "".join(map(re.escape, sorted(marks))) + "]"
+        more = f"(?:(?<=[{binding}]){mark}+{other}*)*" if binding else ""
+        return re.compile((f"[{alone}]|" if alone else "") + f"(?=.){SPACE}*{mark}*{other}*{more}", re.DOTALL)
+
     # --- normalising
 
     def normalize(self, data: bytes) -> tuple[bytes, np.ndarray]:
@@ -189,15 +206,16 @@ class Codec:
         ranks = self.ranks
         s = list(part)
         if len(s) <= SHORT:
-            while len(s) > 1:
-                best, at = None, -1
-                for i in range(len(s) - 1):
-                    r = ranks.get(s[i] + s[i + 1])
-                    if r is not None and (best is None or r < best):
-                        best, at = r, i
-                if best is None:
-                    break
-                s[at:at + 2] = [s[at] + s[at + 1]]
+            get = ranks.get
+            near = [get(part[i:i + 2], _NEVER) for i in range(len(s) - 1)]
+            while near and (best := min(near)) != _NEVER:
+                at = near.index(best)
+                s[at:at + 2] = (whole := s[at] + s[at + 1]),
+                del near[at]
+                if at:
+                    near[at - 1] = get(s[at - 1] + whole, _NEVER)
+                if at < len(near):
+                    near[at] = get(whole + s[at + 1], _NEVER)
             return s
         before, after = list(range(-1, len(s) - 1)), [*range(1, len(s)), -1]
         heap = [(r, i, len(s[i]) + len(s[i + 1])) for i in range(len(s) - 1) if (r := ranks.get(s[i] + s[i + 1])) is not None]
@@ -217,20 +235,16 @@ class Codec:
         return [x for x in s if x]
 
     def _encode_part(self, part: str) -> tuple:
-        """(ids, lengths in bytes of the normalised text) of a part."""
-        ids, sizes = [], []
-        for symbol in self.merged(part):
-            i, raw = self.ids.get(symbol), symbol.encode()
-            if i is not None:
-                ids.append(i)
-                sizes.append(len(raw))
-            elif self.bytes:
-                ids += [self.bytes[b] for b in raw]
-                sizes += [0] * (len(raw) - 1) + [len(raw)]
-            else:
-                ids.append(self.unknown)
-                sizes.append(len(raw))
-        return tuple(ids), tuple(sizes)
+        """ids of a part."""
+        ids, symbols = self.ids, self.merged(part)
+        try:
+            return tuple([ids[x] for x in symbols])
+        except KeyError:
+            pass
+        out = []
+        for x in symbols:
+            out += [ids[x]] if x in ids else [self.bytes[b] for b in x.encode()] if self.bytes else [self.unknown]
+        return tuple(out)
 
     def _part(self, part: str) -> tuple:
         got = self._encode_part(part)
@@ -239,9 +253,17 @@ class Codec:
                 self.known.clear()
                 self.left = REMEMBER_BYTES
             self.known[part] = got
-            self.left -= 300 + 12 * len(got[0])
+            self.left -= 250 + 8 * len(got)
         return got
 
+    def _sizes(self, ids: np.ndarray, text: str) -> np.ndarray:
+        """Bytes of the normalised text in each piece."""
+        sizes = self.size[ids]
+        if not self.bytes:  # an unknown piece is one character
+            wide = [len(c.encode()) for c in text if c not in self.ids]
+            sizes[ids == self.unknown] = wide
+        return sizes
+
     def encode(self, data: bytes, end: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, and begin and end of each piece in the bytes of the original text; the end id stands at its end."""
         plain = self._plain(data)
@@ -252,18 +274,22 @@ class Codec:
             text, at = plain
         parts = self.parts.findall(text) if self.parts else [text] if text else []
         known = self.known
-        got = [known.get(p) or self._part(p) for p in parts]
-        ids = np.fromiter(chain.from_iterable([g[0] for g in got]), np.int32)
-        sizes = np.fromiter(chain.from_iterable([g[1] for g in got]), np.int64)
+        ids = np.fromiter(chain.from_iterable([known.get(p) or self._part(p) for p in parts]), np.int32)
+        sizes = self._sizes(ids, text)
         if not self.bytes and len(ids) > 1:  # neighbouring unknown symbols are one piece
             first = np.ones(len(ids), bool)
             first[1:] = (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)
             sizes = np.add.reduceat(sizes, np.flatnonzero(first))
             ids = ids[first]
         stops = np.cumsum(sizes)
-        begin, stop = at[stops - sizes], at[stops]
-        if self.bytes:  # all but the last byte piece of a character have no width
-            stop = np.where(sizes == 0, begin, stop)
+        starts = stops - sizes
+        follows = self.follows[ids]
+        if follows.any():  # the last byte piece of a character has its span, the others have no width
+            lead = np.maximum.accumulate(np.where(follows, 0, np.arange(len(ids))))
+            starts = starts[lead]
+            inner = np.append(follows[1:], False) & self.is_byte[ids]
+            stops = np.where(inner, starts, stops)
+        begin, stop = at[starts], at[stops]
         if end:
             ids, begin, stop = np.append(ids, np.int32(self.end)), np.append(begin, len(data)), np.append(stop, len(data))
         return ids, begin, stop
