@@ -37,6 +37,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that :func:`scratch` named, in whatever file system it is."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def as_bytes(name: str = "text") -> Column:
     """The text column as binary; nulls as empty."""
     return F.coalesce(F.col(name).cast("string").cast("binary"), F.lit("").cast("binary")).alias(name)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickfeat.llm import cube_mix, decontam, kn_lm, license_scan, ngram_join, quality_gam, quality_rules, secret_scan, substring_dedup, toxic_cnn
-from clickfeat.llm.common import documents
+from clickfeat.llm.common import documents, written
 from clickfeat.llm.learning import labels
 
 SF = "/root/testdata/sf0.001"
@@ -340,21 +340,17 @@ def test_op1_and_op3_learn(spark):
     assert sum(r["predicted"] for r in clean) <= 0.05 * len(clean) and sum(s >= 0.3 for s in bad) >= 0.8 * len(bad)
 
 
-def test_op3_sample_passes_over_long_texts_and_rejects_nothing_untrained(spark, monkeypatch):
+def test_op3_sample_passes_over_long_texts_and_rejects_nothing_untrained(spark):
     docs = spark.createDataFrame([(i, ("vile " if i % 2 else "kind ") * (4000 if i == 1 else 40), "en") for i in range(1, 200)], "doc_id long, text string, lang string")
     known = spark.createDataFrame([(i, i % 2) for i in range(1, 200)], "doc_id long, toxic int")
-    seen = []
-    monkeypatch.setattr(toxic_cnn, "fit", lambda texts, y, fit=toxic_cnn.fit: seen.append(len(texts)) or fit(texts, y))
     first = min((r["h"], r["doc_id"]) for r in known.selectExpr("doc_id", "xxhash64(doc_id) h").collect() if not learns_not(r["doc_id"]))[1]
     long = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat("text", 100)).otherwise(F.col("text")))
     fits = sum(not learns_not(i) and i not in (1, first) for i in range(1, 200))
     trained = toxic_cnn.train(long, known, sample_bytes=15000)  # the first text alone is too long
-    assert seen == [15000 // 200 * 3 // 4] and fits > 75 and trained["model"]["last"] > toxic_cnn.UNTRAINED
+    assert trained["n_texts"] == 15000 // 200 and fits > 75 and trained["model"]["last"] > toxic_cnn.UNTRAINED
     # labels that only other tables have take no place in the sample
     far = spark.range(10_000, 60_000).selectExpr("id as doc_id", "1 as toxic").union(known)
-    seen.clear()
-    toxic_cnn.train(docs, far, sample_rows=50)
-    assert seen == [37]
+    assert toxic_cnn.train(docs, far, sample_rows=50)["n_texts"] == 50
     for labelled in (known.limit(0), known.selectExpr("doc_id", "cast(null as int) toxic"), known.filter("toxic = 1")):
         assert toxic_cnn.toxicity(docs, labelled).filter("predicted = 1 or flagged").count() == 0
 
@@ -382,7 +378,7 @@ def test_pipeline(spark, odd, tmp_path):
         docs = documents(spark, SF) if sf_docs is None else sf_docs
         columns = docs.columns
         for name, stage in corpus_pipeline.STAGES:
-            docs = corpus_pipeline.written(stage(spark, docs, sf), "test")
+            docs = written(stage(spark, docs, sf), "test")
             if name != "mix":
                 assert docs.columns == columns
         rows = docs.collect()
