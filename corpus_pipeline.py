@@ -3,24 +3,28 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read back as the next
 stage's input. The first four return the columns of ``documents``:
 
-1. ``toxicity``: documents that the classifier rejects (score at its cutoff or above) go.
+1. ``toxicity``: documents that the classifier flags (score at the threshold of their language or above) go.
 2. ``near_duplicates``: of each component of near copies one row stays: the smallest id's (null ids last; of rows that
    share this id, the one with the smallest fingerprint of its text); documents without words are no copies of each
    other and stay.
 3. ``benchmark``: documents that leak a benchmark item go.
 4. ``secrets``: spans of secrets are replaced by a mark; ``n_chars`` follows the text.
 5. ``mix``: sources are brought to their target weights; documents that are not taken go, the others carry
-   ``copies``, the number of times the mix takes them.
+   ``copies``, the number of times the mix takes them (an input column of this name gives way to it).
 
 Odd input follows the operators: null texts stay as they are (stage 5 drops them, as they have no words). Verdicts of
 stages 1-3 travel by id (null-safely) and fingerprint of the text, so rows with repeated or null ids each get their own.
+Columns that no stage knows have generated names while one works, so theirs may be any. An empty table stays empty.
+The folder of a stage is removed when the next one is written.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clickfeat.llm.common import documents, fingerprint, written
+from clickfeat.llm.common import documents, fingerprint, remove, scratch
 from clickfeat.llm.cube_mix import mix_sources
 from clickfeat.llm.decontam import leaking_rows
 from clickfeat.llm.learning import labels
@@ -28,6 +32,20 @@ from clickfeat.llm.ngram_join import component_rows
 from clickfeat.llm.secret_scan import find_secrets, redacted
 from clickfeat.llm.toxic_cnn import verdicts
 
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _own_names(stage):
+    """``stage`` with all columns but the known ones under generated names."""
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        held = [c if c in KNOWN else f"__other_{i}" for i, c in enumerate(docs.columns)]
+        out = stage(spark, docs.toDF(*held), sf_dir)
+        new = [c for c in out.columns if c not in held]
+        back = [F.col(h).alias(c) for h, c in zip(held, docs.columns) if c not in new]
+        return out.select(*back, *new)
+    return run
+
 
 def _print(docs: DataFrame) -> DataFrame:
     """A fingerprint of the text beside the id: what tells rows with equal ids apart."""
@@ -45,10 +63,12 @@ def _without(docs: DataFrame, verdict: DataFrame) -> DataFrame:
     return docs.join(other, _same(docs), "left_anti")
 
 
+@_own_names
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, verdicts(docs, labels(spark, sf_dir)).filter("predicted = 1"))
+    return _without(docs, verdicts(docs, labels(spark, sf_dir)).filter("flagged"))
 
 
+@_own_names
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = component_rows(docs).filter("n_shingles > 0")
     # one row per id and text that is a copy, or that several rows share
@@ -59,10 +79,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return rows.filter("_shared is null").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
+@_own_names
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(docs, leaking_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("leaked"))
 
 
+@_own_names
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     clean = F.when(F.col("text").isNotNull(), redacted(F.col("text"), F.col("all_spans")))
     out = find_secrets(docs).withColumn("_clean", clean)
@@ -73,6 +95,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return out.withColumns(columns).select(*docs.columns)
 
 
+@_own_names
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mix_sources(docs).filter("taken > 0").select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("fingerprint").alias("_fp"),
@@ -81,7 +104,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = taken.groupBy("_id", "_source", "_fp").agg(F.sum("_taken").cast("int").alias("_copies"))
     rows = _print(docs).dropDuplicates(["doc_id", "source", "_print"])
     same = F.expr("doc_id <=> _id and source <=> _source and _print = _fp")
-    return rows.join(taken, same).select(*[c for c in docs.columns if c != "copies"], F.col("_copies").alias("copies"))
+    return rows.join(taken, same).select(*docs.columns, F.col("_copies").alias("copies"))
 
 
 STAGES = [
@@ -97,7 +120,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        out, path = stage(spark, docs, sf_dir), scratch(spark, f"pipeline-{name}")
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
