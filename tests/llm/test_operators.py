@@ -347,7 +347,7 @@ def test_op3_sample_passes_over_long_texts_and_rejects_nothing_untrained(spark):
     long = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat("text", 100)).otherwise(F.col("text")))
     fits = sum(not learns_not(i) and i not in (1, first) for i in range(1, 200))
     trained = toxic_cnn.train(long, known, sample_bytes=15000)  # the first text alone is too long
-    assert trained["n_texts"] == 15000 // 200 and fits > 75 and trained["model"]["last"] > toxic_cnn.UNTRAINED
+    assert trained["n_texts"] == 15000 // 200 and fits > 75 and trained["learnt"]
     # labels that only other tables have take no place in the sample
     far = spark.range(10_000, 60_000).selectExpr("id as doc_id", "1 as toxic").union(known)
     assert toxic_cnn.train(docs, far, sample_rows=50)["n_texts"] == 50
