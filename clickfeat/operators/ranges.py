@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import SECONDS, as_keys, range_count_name
 from .combos import normalise_combos
@@ -22,6 +22,20 @@ def check_range(back, fwd) -> tuple[int, int]:
     return back, fwd
 
 
+def in_range(value: Column, keys, time_col: str, back: int, fwd: int) -> Column:
+    """Sum of ``value`` over the group's rows with time in ``[t + back, t + fwd]``.
+
+    The difference of two sums that only grow along the group (up to ``t + fwd``, and up to just before ``t + back``),
+    so a group costs its rows once, however many of them a range holds; a frame with two moving ends would be added up
+    anew whenever it moves. Rows without time come first and are each other's peers: both sums of a row with a time hold
+    them, and a row without has them all in its first.
+    """
+    w = Window.partitionBy(*keys).orderBy(time_col)
+    upto = F.sum(value).over(w.rangeBetween(Window.unboundedPreceding, fwd))
+    before = F.sum(value).over(w.rangeBetween(Window.unboundedPreceding, back - 1))
+    return F.when(F.col(time_col).isNull(), upto).otherwise(upto - F.coalesce(before, F.lit(0)))
+
+
 def range_count_features(combos, back: int, fwd: int, *, time_col: str = SECONDS,
                          dtype: str = "long") -> list[KeyedFeature]:
     back, fwd = check_range(back, fwd)
@@ -32,17 +46,15 @@ def _range_feature(combo, back, fwd, time_col, dtype) -> KeyedFeature:
     name = range_count_name(combo, back, fwd)
 
     def window_plan():
-        w = Window.partitionBy(*combo).orderBy(time_col).rangeBetween(back, fwd)
-        return WindowPlan(ranged=[(name, null_key_guard(combo, F.count(F.lit(1)).over(w)).cast(dtype))])
+        return WindowPlan(ranged=[(name, null_key_guard(combo, in_range(F.lit(1), combo, time_col, back, fwd)).cast(dtype))])
 
     def apply_second(df: DataFrame, base: DataFrame, profile: KeyProfile) -> DataFrame:
-        # clicks per (keys, second) first; a sum over the same range frame of that
-        # table is exact because all clicks of one second share their result
+        # clicks per (keys, second) first; the same sums over that table are
+        # exact because all clicks of one second share their result
         tag = "__r_" + "_".join(combo) + f"_{-back}_{fwd}"
         n, total = tag + "_n", tag + "_total"
-        w = Window.partitionBy(*combo).orderBy(time_col).rangeBetween(back, fwd)
         per_second = (base.groupBy(*combo, time_col).agg(F.count(F.lit(1)).alias(n))
-                      .select(*combo, time_col, F.sum(n).over(w).alias(total)))
+                      .select(*combo, time_col, in_range(F.col(n), combo, time_col, back, fwd).alias(total)))
         # null times are peers of each other, as in the window plan; null keys match nothing
         keys = {c: f"{tag}_{i}" for i, c in enumerate((*combo, time_col))}
         side = maybe_broadcast(per_second.withColumnsRenamed(keys), profile, combo, True)
@@ -74,20 +86,21 @@ def count_in_range_for(probes: DataFrame, events: DataFrame, keys, back: int = -
     """For each probe row, the events of its group with time in ``[t + back, t + fwd]``.
 
     Probes and events are both reduced to one row per (keys, second) - events
-    with their count, probes with 0 - unioned, and summed over one range
-    window; the result is joined back to the probes. No pair of rows is ever
-    formed, and a group's window holds at most its distinct seconds.
+    with their count, probes with 0 - added together, and summed along each group (see :func:`in_range`); the result is
+    joined back to the probes. No pair of rows is ever formed, and a group's window holds at most its distinct seconds.
+    A probe without time counts the events of its group that have none, as :func:`count_in_range` does; a null key gives null.
     """
     keys = as_keys(keys)
     back, fwd = check_range(back, fwd)
     name = name or range_count_name(keys, back, fwd)
     n = "__events"
-    ev = events.groupBy(*keys, time_col).agg(F.count(F.lit(1)).alias(n))
-    pr = probes.select(*keys, time_col).distinct().select(*keys, time_col, F.lit(0).cast("long").alias(n))
-    pr = pr.withColumn("__probe", F.lit(True))
-    ev = ev.withColumn("__probe", F.lit(False))
-    w = Window.partitionBy(*keys).orderBy(time_col).rangeBetween(back, fwd)
-    counted = (ev.unionByName(pr).select(*keys, time_col, "__probe", F.sum(n).over(w).alias("__total"))
-               .filter(F.col("__probe")).select(*keys, time_col, "__total"))
-    out = probes.join(counted, on=[*keys, time_col], how="left")
-    return out.select(*probes.columns, F.col("__total").cast(dtype).alias(name))
+    ev = events.select(*keys, time_col, F.lit(1).cast("long").alias(n), F.lit(False).alias("__probe"))
+    pr = probes.select(*keys, time_col, F.lit(0).cast("long").alias(n), F.lit(True).alias("__probe"))
+    per_second = ev.unionByName(pr).groupBy(*keys, time_col).agg(F.sum(n).alias(n), F.max("__probe").alias("__probe"))
+    counted = per_second.select(*keys, time_col, "__probe", in_range(F.col(n), keys, time_col, back, fwd).alias("__total")).filter("__probe")
+    other = {c: f"__key_{i}" for i, c in enumerate((*keys, time_col))}
+    side = counted.drop("__probe").withColumnsRenamed(other)
+    same = probes[time_col].eqNullSafe(side[other[time_col]])
+    for k in keys:
+        same = same & (probes[k] == side[other[k]])
+    return probes.join(side, same, "left").select(*[probes[c] for c in probes.columns], F.col("__total").cast(dtype).alias(name))
