@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import ROW_ID
 from ..session import reliable_checkpoint
-from .skew import KeyProfile, profile_keys
+from .skew import KeyProfile, profile_key_sets, profile_keys
 
 ROWS_PER_TASK = 4_000_000  # rows of one window task, from which the number of partitions follows
 BROADCAST_TOTAL_ROWS = 4_000_000  # proven rows of all tables that one plan broadcasts, together
@@ -99,7 +99,7 @@ def root_partitions(configured: int, profile: KeyProfile) -> int:
     return max(configured, math.ceil(rows / ROWS_PER_TASK))
 
 
-def _window_root(out: DataFrame, root: str, group: Sequence[KeyedFeature], profile: KeyProfile) -> DataFrame:
+def _window_root(out: DataFrame, root: tuple[str, ...], group: Sequence[KeyedFeature], profile: KeyProfile) -> DataFrame:
     plans = {}
     for f in group:
         plans.setdefault(f.combo, []).append(f.window_plan())
@@ -111,7 +111,7 @@ def _window_root(out: DataFrame, root: str, group: Sequence[KeyedFeature], profi
     # an explicit count keeps AQE from folding a small input into one task: the
     # windows below are the expensive part and need the parallelism
     n = root_partitions(int(out.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), profile)
-    out = out.repartition(n, F.col(root))
+    out = out.repartition(n, *[F.col(k) for k in root])
     # largest key sets first: a unique count of K reads flags of K + one key.
     # One projection per key set: its windows share that key set's sort (one
     # projection holding many window specs is slower to plan and to run)
@@ -168,14 +168,15 @@ def add_keyed_features(df: DataFrame, features: Sequence[KeyedFeature], profile:
 
     # each feature may broadcast one table: their sum is bounded too
     profile = replace(profile, broadcast_rows=min(profile.broadcast_rows, BROADCAST_TOTAL_ROWS // len(features)))
-    rooted: dict[str, list[KeyedFeature]] = {}
+    rooted: dict[tuple[str, ...], list[KeyedFeature]] = {}
     second: list[KeyedFeature] = []
-    small_stats: list[KeyedFeature] = []
-    for f in features:
-        root = profile.root_for(f.combo)
-        if f.group_stat and profile.can_broadcast(f.combo):
-            small_stats.append(f)
-        elif root is None:
+    small_stats = [f for f in features if f.group_stat and profile.can_broadcast(f.combo)]
+    spread = [f for f in features if not (f.group_stat and profile.can_broadcast(f.combo))]
+    profile = profile_key_sets(df, profile, [f.combo for f in spread])
+    roots = profile.roots([f.combo for f in spread])
+    for f in spread:
+        root = roots[f.combo]
+        if root is None:
             second.append(f)
         else:
             rooted.setdefault(root, []).append(f)

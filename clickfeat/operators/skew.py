@@ -3,10 +3,12 @@
 Every feature family is keyed by a combination of id columns. Two physical
 plans compute it exactly:
 
-* ``window`` - the rows are hash-partitioned once by a *root* key of the
-  combination and every window of every combination under that root runs in
-  that one partitioning (one exchange per root, not per combination). Safe only
-  when no single value of the root holds too many rows.
+* ``window`` - the rows are hash-partitioned once by a *root* of the
+  combination (one to three of its keys) and every window of every combination
+  under that root runs in that one partitioning (one exchange per root, not per
+  combination). Safe only when no group of the root holds too many rows. Few roots
+  are chosen to serve all combinations; sets of keys are counted only where single
+  keys are hot or thin.
 * ``second`` - the rows are first reduced to one row per (keys, second) with a
   map-side partial aggregate; windows run on that table, whose groups are
   bounded by the number of distinct seconds in the data, however hot a key is;
@@ -21,12 +23,14 @@ driver.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import itertools
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..schema import ID_COLUMNS, SECONDS
 
+ROOT_KEYS = 3                      # keys of a root at most
 DEFAULT_HOT_ROWS = 2_000_000       # a root value with more rows than this is "hot"
 DEFAULT_BROADCAST_ROWS = 1_000_000  # proven row bound under which a reduced table is broadcast
 
@@ -42,7 +46,8 @@ class KeyProfile:
     broadcast_rows: int = DEFAULT_BROADCAST_ROWS
     min_root_distinct: int = 1
     forced: str | None = None  # "window" / "second" to force one plan (tests)
-    _cache: dict = field(default_factory=dict, repr=False)
+    # exact (distinct groups, rows of the largest group) of sets of two or more keys, where they were counted
+    sets: dict[tuple[str, ...], tuple[int, int]] = field(default_factory=dict)
 
     @property
     def span_seconds(self) -> int:
@@ -74,11 +79,54 @@ class KeyProfile:
             return None
         return min(good, key=lambda k: (-self.distinct[k], order.get(k, len(order))))
 
+    def good_set(self, keys: tuple[str, ...]) -> bool:
+        """As :meth:`good_root` for a set of keys whose groups were counted."""
+        if len(keys) == 1:
+            return self.good_root(keys[0])
+        if keys not in self.sets:
+            return False
+        groups, largest = self.sets[keys]
+        return largest <= self.hot_rows and (self.total_rows <= self.hot_rows or groups >= self.min_root_distinct)
+
+    def uncounted_sets(self, combos, most: int = ROOT_KEYS) -> list[tuple[str, ...]]:
+        """Key sets worth counting: of two to ``most`` keys, none of which is a safe root, inside some combination that has no
+        safe key."""
+        if self.forced or not self.distinct:
+            return []
+        out = {s for c in combos if not any(self.good_root(k) for k in c)
+               for n in range(2, min(most, len(c)) + 1) for s in itertools.combinations(c, n)}
+        return sorted(out - set(self.sets), key=lambda s: (len(s), s))
+
+    def roots(self, combos) -> dict[tuple[str, ...], tuple[str, ...] | None]:
+        """A root for every combination (None: the reduced plan), so that few roots serve all of them.
+
+        Rows spread by a safe key set are clustered for every combination that holds it. Greedily the safe set that serves most
+        of the combinations still without a root becomes one (fewer keys, then more groups first); in the end
+        each combination takes that root within it that has most groups.
+        """
+        combos = list(dict.fromkeys(combos))
+        if self.forced or not self.distinct:
+            return {c: None if (k := self.root_for(c)) is None else (k,) for c in combos}
+        safe = [s for s in {*((k,) for c in combos for k in c), *self.sets} if self.good_set(s)]
+        groups = lambda s: self.distinct[s[0]] if len(s) == 1 else self.sets[s][0]
+        chosen, left = [], set(combos)
+        while left:
+            served = {s: sum(set(s) <= set(c) for c in left) for s in safe}
+            best = max((s for s in safe if served[s]), key=lambda s: (served[s], -len(s), groups(s), s), default=None)
+            if best is None:
+                break
+            chosen.append(best)
+            left = {c for c in left if not set(best) <= set(c)}
+        return {c: max((s for s in chosen if set(s) <= set(c)), key=lambda s: (groups(s), s), default=None) for c in combos}
+
     def group_bound(self, combo: tuple[str, ...], with_seconds: bool = False) -> int:
         """Proven upper bound on the number of distinct groups of ``combo``."""
-        bound = 1
-        for k in combo:
-            bound *= max(1, self.distinct.get(k, self.total_rows))
+        if combo in self.sets:
+            bound = max(1, self.sets[combo][0])
+        else:
+            bound = 1
+            for k in combo:
+                bound *= max(1, self.distinct.get(k, self.total_rows))
         if with_seconds:
             bound *= max(1, self.span_seconds)
         return min(bound, self.total_rows)
@@ -125,6 +173,24 @@ def profile_keys(df: DataFrame, keys=ID_COLUMNS, time_col: str = SECONDS, *,
         min_root_distinct=min_root_distinct, forced=forced)
 
 
+def profile_key_sets(df: DataFrame, profile: KeyProfile, combos) -> KeyProfile:
+    """``profile`` with the exact groups of the key sets that could root ``combos`` where no single key can.
+
+    One job, and only if there are such sets: rows collapse to id tuples (map-side), tuples to the groups of all sets
+    (``GROUPING SETS``), these to one row per set.
+    """
+    wanted = profile.uncounted_sets(combos)
+    if not wanted:
+        return profile
+    keys = sorted({k for s in wanted for k in s})
+    tuples = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    number = F.grouping_id(*keys)  # a bit per key, 1 where the set leaves it out
+    groups = tuples.groupingSets([[F.col(k) for k in s] for s in wanted], *keys).agg(F.sum("__n").alias("__n"), number.alias("__set"))
+    rows = groups.groupBy("__set").agg(F.count(F.lit(1)).alias("groups"), F.max("__n").alias("largest")).collect()  # a row per set
+    named = {sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s): s for s in wanted}
+    return replace(profile, sets={**profile.sets, **{named[r["__set"]]: (int(r["groups"]), int(r["largest"])) for r in rows}})
+
+
 def forced_profile(plan: str, broadcast: bool = False) -> KeyProfile:
     """A profile that skips the statistics job and forces one plan (tests,
     benchmarks); ``broadcast`` declares every reduced table small."""
