@@ -203,6 +203,8 @@ WHERE substr(md5(concat(CAST({q.SAMPLE_SEED} AS VARCHAR), '_', CAST(row_id AS VA
     out["balanced_folds"] = BASE + folds_cte() + "SELECT fold, row_id, is_attributed FROM fs"
     out["train_valid_split"] = BASE + folds_cte() + HOLDOUT + (
         "SELECT r.fold, r.row_id, r.is_attributed, r.rn <= sz.n AS is_valid FROM r JOIN sz USING (fold)")
+    out["node_scores"] = BASE + folds_cte() + HOLDOUT + (
+        "SELECT r.fold, r.row_id, r.is_attributed, TRUE AS same_score, TRUE AS is_probability FROM r JOIN sz USING (fold) WHERE r.rn <= sz.n")
     out["fold_dataset"] = BASE + folds_cte() + HOLDOUT + f"""
 SELECT r.fold, r.rn <= sz.n AS is_valid, r.is_attributed, count(*) AS n_rows,
        CAST({len(drop_features(names))} AS INTEGER) AS least_features, CAST({len(drop_features(names))} AS INTEGER) AS most_features

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions.datetime import date_time_features, with_epoch_seconds
 from ..operators import folds as fo
 from ..operators import model as mo
+from ..operators import trees
 from ..operators.combos import feature_combinations
 from ..operators.gaps import click_gaps
 from ..operators.groups import class_counts, cube_counts, group_click_count, time_bounds, unique_counts
@@ -306,27 +307,50 @@ def q_fold_dataset(spark, sf_dir):
 
 
 def q_holdout_scores(spark, sf_dir):
+    """Each fold's hold-out rows under its model, from the node table cut at the best round."""
     inp, feats, modelled, rows = _model_inputs(spark, sf_dir)
-    models = mo.train_bagged_gbt(rows, modelled)
+    models, nodes, _ = mo.train_with_patience(spark, rows, modelled, scratch_dir(spark, "nodes"))
+    out = mo.predict_nodes(models, nodes, rows.filter("is_valid"), modelled, mo.BoostParams(), [ROW_ID, LABEL], "fold")
+    return out.select(F.col("model").alias("fold"), ROW_ID, LABEL, "score")
+
+
+def q_early_stop(spark, sf_dir):
+    """Per fold: rounds trained, the round at which patience cuts its model, and the hold-out loss there."""
+    inp, feats, modelled, rows = _model_inputs(spark, sf_dir)
+    _, _, best = mo.train_with_patience(spark, rows, modelled, scratch_dir(spark, "nodes"))
+    return best.select(F.col("model").alias("fold"), "n_rounds", "best_round", "loss")
+
+
+def q_node_scores(spark, sf_dir):
+    """Hold-out rows of small models: does the node table give the score of the saved and reloaded model?"""
+    inp, feats, modelled, rows = _model_inputs(spark, sf_dir)
+    params = mo.BoostParams(max_iter=3, max_depth=4)
+    models = mo.train_bagged_gbt(rows.filter(~F.col("is_valid")), modelled, params, validation_col=None)
     path = scratch_dir(spark, "models")
     mo.save_models(models, path)
     loaded = mo.load_models(path, sorted(models))
-    return mo.holdout_scores(loaded, rows, modelled)
+    nodes = reliable_checkpoint(trees.write_nodes(spark, loaded, f"{path}/nodes"))
+    valid = rows.filter("is_valid")
+    ours = mo.predict_nodes(loaded, nodes, valid, modelled, params, [ROW_ID], "fold").withColumnsRenamed({"model": "fold", "score": "ours"})
+    theirs = mo.holdout_scores(loaded, rows, modelled)
+    both = theirs.join(ours, ["fold", ROW_ID], "full")
+    same = F.coalesce(F.abs(F.col("score") - F.col("ours")) < 1e-9, F.lit(False))
+    return both.select("fold", ROW_ID, LABEL, same.alias("same_score"), F.col("ours").between(0.0, 1.0).alias("is_probability"))
 
 
 def q_cross_validate(spark, sf_dir):
+    """Fold 0 cross-validated: mean AUC after every round, and the best round."""
     inp, feats, modelled, rows = _model_inputs(spark, sf_dir)
     fold0 = rows.filter(F.col("fold") == 0)
-    value = mo.cross_validate(fold0, modelled, n_folds=5)
-    n = fold0.count()
-    return spark.createDataFrame([(0, 5, n, value)], "fold int, cv_folds int, n_rows long, mean_auc double")
+    out = mo.cross_validate(fold0, modelled, scratch_dir(spark, "cv"), n_folds=5)
+    return out.select(F.lit(0).alias("fold"), F.lit(5).alias("cv_folds"), "round", "mean_auc", "n_models", "is_best")
 
 
 def q_predict_ensemble(spark, sf_dir):
     inp, feats, modelled, rows = _model_inputs(spark, sf_dir)
-    models = mo.train_bagged_gbt(rows, modelled)
+    models, nodes, _ = mo.train_with_patience(spark, rows, modelled, scratch_dir(spark, "nodes"))
     test = test_feature_set(map_test_ids(inp.test, inp.partial), feats, modelled)
-    return mo.predict_ensemble(models, test, modelled)
+    return mo.ensemble_mean(mo.predict_nodes(models, nodes, test, modelled, mo.BoostParams()))
 
 
 def fold_score(fold_col: str = "fold") -> F.Column:
@@ -378,6 +402,8 @@ QUERIES = {
     "fold_dataset": q_fold_dataset,
     "bagged_gbt_auc": q_bagged_gbt_auc,
     "holdout_scores": q_holdout_scores,
+    "early_stop": q_early_stop,
+    "node_scores": q_node_scores,
     "cross_validate": q_cross_validate,
     "predict_ensemble": q_predict_ensemble,
 }
