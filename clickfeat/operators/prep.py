@@ -57,6 +57,27 @@ def with_file_order_ids(placed: DataFrame, snapshot_path: str) -> DataFrame:
             .drop(FILE, BLOCK, "__at", "__shift"))
 
 
+def write_sorted(df: DataFrame, path: str, by: Sequence[str], partition: str | None = None) -> None:
+    """Rows in the order of ``by`` as output (O1, O2): file after file (by name) and row after row the order goes on, within
+    each value of ``partition`` if given (a folder each). A range partitioning, then a sort in every task."""
+    cols = [*([partition] if partition else []), *by]
+    w = df.repartitionByRange(*[F.col(c) for c in cols]).sortWithinPartitions(*cols).write.mode("overwrite")
+    (w.partitionBy(partition) if partition else w).parquet(path)
+
+
+def with_places(spark, path: str, partition: str | None = None) -> DataFrame:
+    """Rows of :func:`write_sorted` with ``place``, their number (from 0) in the order of the files and of the rows in each.
+
+    What a reader of the files sees, not what a sort would give. One row per file is ranked.
+    """
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    by = [partition] if partition else []
+    files = rows.groupBy(*by, "__file").agg(F.count(F.lit(1)).alias("__n"))
+    w = (Window.partitionBy(partition) if partition else Window).orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("__file", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
+    return rows.join(files, "__file").withColumn("place", F.col("__before") + F.col("__at")).drop("__file", "__at", "__before")
+
+
 def take_split(df: DataFrame, split: str) -> DataFrame:
     """Rows of one side of the union."""
     return df.filter(F.col(SPLIT) == split)

@@ -4,7 +4,6 @@
 from __future__ import annotations
 
 from ..operators.combos import feature_combinations
-from ..operators.folds import fraction_threshold
 from ..operators.groups import objectives_for
 from ..operators.prep import drop_features
 from ..schema import ID_COLUMNS, gap_name, range_count_name, unique_count_name
@@ -195,10 +194,14 @@ FROM u GROUP BY GROUPING SETS ({sets})"""
 SELECT p.click_id, CAST(count(u.row_id) AS BIGINT) AS n_events
 FROM p LEFT JOIN u ON {keys} AND u.{S} BETWEEN p.s - {-b} AND p.s + {f}
 GROUP BY p.click_id"""
-    thr = fraction_threshold(q.SAMPLE_FRACTION)
     out["sample_fraction"] = BASE + f"""
-SELECT row_id, split, {S} FROM u
-WHERE substr(md5(concat(CAST({q.SAMPLE_SEED} AS VARCHAR), '_', CAST(row_id AS VARCHAR))), 1, 32) < '{thr}'"""
+, r AS (SELECT row_id, split, {S}, row_number() OVER (
+          ORDER BY md5(concat(CAST({q.SAMPLE_SEED} AS VARCHAR), '_', CAST(row_id AS VARCHAR))), row_id) AS rn FROM u)
+SELECT row_id, split, {S} FROM r
+WHERE rn <= (SELECT CAST(round_even(CAST({q.SAMPLE_FRACTION} AS DOUBLE) * count(*), 0) AS BIGINT) FROM u)"""
+    out["time_order"] = BASE + f"SELECT row_id, split, {S}, row_number() OVER (ORDER BY {S}, row_id) - 1 AS place FROM u"
+    out["fold_order"] = BASE + folds_cte() + (
+        "SELECT fold, row_id, is_attributed, row_number() OVER (PARTITION BY fold ORDER BY row_id) - 1 AS place FROM fs")
     out["class_counts"] = BASE + "SELECT is_attributed, count(*) AS n_rows FROM train GROUP BY is_attributed"
     out["balanced_folds"] = BASE + folds_cte() + "SELECT fold, row_id, is_attributed FROM fs"
     out["train_valid_split"] = BASE + folds_cte() + HOLDOUT + (

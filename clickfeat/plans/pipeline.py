@@ -21,7 +21,7 @@ from ..functions.datetime import with_epoch_seconds
 from ..operators import folds as fo
 from ..operators import model as mo
 from ..operators.prep import (after_cutoff, drop_features, require_features, take_split, union_clicks,
-                              with_file_order_ids)
+                              with_file_order_ids, write_sorted)
 from ..operators.testmap import map_test_ids, test_feature_set
 from ..schema import CLICK_ID, LABEL, ROW_ID, SPLIT
 from ..session import reliable_checkpoint
@@ -41,13 +41,11 @@ def ingest(spark: SparkSession, train_csv, supplement_csv, test_csv, out: str) -
 
 
 def dev_sample(spark: SparkSession, out: str, fraction: float = 0.001, seed: int = 114514) -> None:
-    """Development copies of the ingested sets: a seeded fraction of the rows,
-    kept in click-time order inside each file (M1, O1)."""
-    for name in ("train", "supplement_partial"):
+    """Development copies of the three ingested sets: exactly ``round(fraction * rows)`` rows of each, in click order from
+    file to file (M1, O1)."""
+    for name in ("train", "supplement_partial", "test"):
         key = ROW_ID if name == "train" else CLICK_ID
-        (fo.sample_fraction(spark.read.parquet(f"{out}/{name}"), fraction, seed, key)
-         .sortWithinPartitions("click_time", key)
-         .write.mode("overwrite").parquet(f"{out}/{name}_small"))
+        write_sorted(fo.sample_fraction(spark.read.parquet(f"{out}/{name}"), fraction, seed, key), f"{out}/{name}_small", ["click_time", key])
 
 
 def id_offset(spark: SparkSession, out: str) -> int:
@@ -70,8 +68,8 @@ def folds(spark: SparkSession, out: str, n_folds: int = 10, valid_fraction: floa
           buckets: int | None = None, table_prefix: str | None = None) -> None:
     train = take_split(union_of(spark, out), "train")
     table = fo.train_valid_split(fo.balanced_folds(train, n_folds), valid_fraction, seed)
-    # rows in id order inside each file (O2): tight Parquet statistics on row_id
-    table.sortWithinPartitions(ROW_ID).write.mode("overwrite").partitionBy("fold").parquet(f"{out}/folds")
+    # each fold's rows in id order from file to file (O2): tight Parquet statistics on row_id
+    write_sorted(table, f"{out}/folds", [ROW_ID], "fold")
     if buckets and table_prefix:
         write_bucketed(table, f"{table_prefix}_folds", buckets)
 

@@ -16,7 +16,7 @@ from ..operators.combos import feature_combinations
 from ..operators.gaps import click_gaps
 from ..operators.groups import class_counts, cube_counts, group_click_count, time_bounds, unique_counts
 from ..operators.metrics import auc
-from ..operators.prep import after_cutoff, drop_features, raw_features, require_features, take_split, union_clicks
+from ..operators.prep import after_cutoff, drop_features, raw_features, require_features, take_split, union_clicks, with_places, write_sorted
 from ..operators.ranges import count_in_range, count_in_range_for
 from ..operators.testmap import map_test_ids, test_feature_set
 from ..schema import (CLICK_ID, DATE_TIME_PARTS, ID_COLUMNS, LABEL, ROW_ID, SECONDS, SPLIT, TIME)
@@ -211,6 +211,20 @@ def q_sample_fraction(spark, sf_dir):
     return fo.sample_fraction(u, SAMPLE_FRACTION, SAMPLE_SEED).select(ROW_ID, SPLIT, SECONDS)
 
 
+def q_time_order(spark, sf_dir):
+    """Rows written in click order and read back: the place of each over all files (O1)."""
+    path = scratch_dir(spark, "time_order")
+    write_sorted(Inputs(spark, sf_dir).union.select(ROW_ID, SPLIT, SECONDS), path, [SECONDS, ROW_ID])
+    return with_places(spark, path).select(ROW_ID, SPLIT, SECONDS, "place")
+
+
+def q_fold_order(spark, sf_dir):
+    """Fold rows written in id order, a folder per fold, and read back: the place of each in its fold (O2)."""
+    path = scratch_dir(spark, "fold_order")
+    write_sorted(_folds(Inputs(spark, sf_dir)), path, [ROW_ID], "fold")
+    return with_places(spark, path, "fold").select(F.col("fold").cast("int").alias("fold"), ROW_ID, LABEL, "place")
+
+
 def q_class_counts(spark, sf_dir):
     return class_counts(Inputs(spark, sf_dir).train)
 
@@ -390,6 +404,8 @@ QUERIES = {
     "count_in_range_back": q_count_in_range_back,
     "count_in_range_probes": q_count_in_range_probes,
     "sample_fraction": q_sample_fraction,
+    "time_order": q_time_order,
+    "fold_order": q_fold_order,
     "class_counts": q_class_counts,
     "balanced_folds": q_balanced_folds,
     "train_valid_split": q_train_valid_split,
