@@ -82,8 +82,8 @@ def training_sets(spark: SparkSession, out: str, table_prefix: str | None = None
         feats = read_bucketed_features(spark, table_prefix, names)
         fold_table = spark.table(f"{table_prefix}_folds")
     else:
-        feats = read_features(spark, f"{out}/features", names)
         fold_table = spark.read.parquet(f"{out}/folds")
+        feats = read_features(spark, f"{out}/features", names, ids=fold_table)
     require_features(feats, names)
     rows = fo.fold_features(fold_table, feats)
     check = fo.check_alignment(fold_table, rows, ["fold", ROW_ID]).first()
@@ -95,10 +95,11 @@ def training_sets(spark: SparkSession, out: str, table_prefix: str | None = None
 
 def test_set(spark: SparkSession, out: str) -> None:
     names = manifest_names()
-    feats = read_features(spark, f"{out}/features", names)
-    test = spark.read.parquet(f"{out}/test")
-    supp = spark.read.parquet(f"{out}/supplement_partial")
-    test_feature_set(map_test_ids(test, supp), feats, names, id_offset(spark, out)).write.mode("overwrite").parquet(f"{out}/test_set")
+    offset = id_offset(spark, out)
+    ids = reliable_checkpoint(map_test_ids(spark.read.parquet(f"{out}/test"), spark.read.parquet(f"{out}/supplement_partial")))
+    asked = ids.select((F.col("old_click_id") + F.lit(offset)).alias(ROW_ID))
+    feats = read_features(spark, f"{out}/features", names, ids=asked)
+    test_feature_set(ids, feats, names, offset).write.mode("overwrite").parquet(f"{out}/test_set")
 
 
 def models(spark: SparkSession, out: str, params: mo.BoostParams | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ from ..schema import (CLICK_ID, DATE_TIME_PARTS, ID_COLUMNS, LABEL, ROW_ID, SECO
 from ..session import ensure_checkpoint_dir, reliable_checkpoint, use_session_time_zone_utc
 from ..sources.clicks import (SUPPLEMENT_START, TRAIN_END, UNION_ID_OFFSET, read_clicks_test, read_clicks_train, read_events_clicks,
                               snapshot, supplement_clicks, test_clicks, train_clicks, write_clicks_csv)
-from .features import FAMILIES, build_features, feature_manifest, feature_table, manifest_names, read_features
+from .features import FAMILIES, build_features, feature_manifest, feature_table, manifest_names, read_features, read_manifest
 
 ALL = feature_combinations(ID_COLUMNS)
 WITH_IP = feature_combinations(ID_COLUMNS, include=["ip"])
@@ -241,21 +241,29 @@ def q_train_valid_split(spark, sf_dir):
     return fo.train_valid_split(_folds(Inputs(spark, sf_dir)), VALID_FRACTION, SPLIT_SEED)
 
 
-def _written_features(spark, inp: Inputs) -> tuple[DataFrame, list[str]]:
-    """Feature table written per family to the shared scratch folder and read back."""
-    names = manifest_names()
-    path = scratch_dir(spark, "features")
+def _written_features(inp: Inputs) -> tuple[str, list[str]]:
+    """Folder of the feature table, written per family to the shared scratch folder, and its names."""
+    path = scratch_dir(inp.spark, "features")
     build_features(inp.union, path)
-    feats = read_features(spark, path, names)
+    return path, manifest_names(read_manifest(inp.spark, f"{path}/manifest"))
+
+
+def _fold_rows(inp: Inputs, path: str, names: list[str], folds: DataFrame) -> DataFrame:
+    feats = read_features(inp.spark, path, names, ids=folds)
     require_features(feats, names)
-    return feats, names
+    return fo.fold_features(folds, feats)
+
+
+def _test_rows(inp: Inputs, path: str, names: list[str]) -> DataFrame:
+    ids = reliable_checkpoint(map_test_ids(inp.test, inp.partial))
+    asked = ids.select((F.col("old_click_id") + F.lit(UNION_ID_OFFSET)).alias(ROW_ID))
+    return test_feature_set(ids, read_features(inp.spark, path, names, ids=asked), names)
 
 
 def q_fold_training_set(spark, sf_dir):
     inp = Inputs(spark, sf_dir)
-    feats, names = _written_features(spark, inp)
-    rows = fo.fold_features(_folds(inp), feats)
-    return rounded(fo.training_set(rows, names))
+    path, names = _written_features(inp)
+    return rounded(fo.training_set(_fold_rows(inp, path, names, _folds(inp)), names))
 
 
 def q_alignment_check(spark, sf_dir):
@@ -273,8 +281,7 @@ def q_test_id_map(spark, sf_dir):
 
 def q_test_feature_set(spark, sf_dir):
     inp = Inputs(spark, sf_dir)
-    feats, names = _written_features(spark, inp)
-    return rounded(test_feature_set(map_test_ids(inp.test, inp.partial), feats, names))
+    return rounded(_test_rows(inp, *_written_features(inp)))
 
 
 def q_auc_of_score(spark, sf_dir):
@@ -293,17 +300,15 @@ MODEL_FAMILIES = FAMILIES
 
 def _model_inputs(spark, sf_dir):
     inp = Inputs(spark, sf_dir)
-    feats, names = _written_features(spark, inp)
-    modelled = drop_features(names)
-    folds = fo.train_valid_split(_folds(inp), VALID_FRACTION, SPLIT_SEED)
-    rows = reliable_checkpoint(fo.fold_features(folds, feats))
-    return inp, feats, modelled, rows
+    path, names = _written_features(inp)
+    folds = reliable_checkpoint(fo.train_valid_split(_folds(inp), VALID_FRACTION, SPLIT_SEED))
+    return inp, path, drop_features(names), reliable_checkpoint(_fold_rows(inp, path, names, folds))
 
 
 def q_bagged_gbt_auc(spark, sf_dir):
     """Per fold: hold-out AUC of its model; fold -1: AUC of the mean score of each row that some model
     holds out, over those models."""
-    inp, feats, modelled, rows = _model_inputs(spark, sf_dir)
+    inp, path, modelled, rows = _model_inputs(spark, sf_dir)
     models = mo.train_bagged_gbt(rows, modelled)
     scored = reliable_checkpoint(mo.holdout_scores(models, rows, modelled)).select("fold", ROW_ID, LABEL, "score")
     pooled = scored.groupBy(ROW_ID, LABEL).agg(F.avg("score").alias("score")).withColumn("fold", F.lit(-1))
@@ -312,17 +317,17 @@ def q_bagged_gbt_auc(spark, sf_dir):
 
 def q_fold_dataset(spark, sf_dir):
     """The saved model-ready folds, read back: rows and vector widths per fold, hold-out flag and label."""
-    inp, feats, modelled, rows = _model_inputs(spark, sf_dir)
-    path = scratch_dir(spark, "fold_dataset")
-    mo.save_fold_dataset(rows, modelled, path)
+    inp, path, modelled, rows = _model_inputs(spark, sf_dir)
+    saved = scratch_dir(spark, "fold_dataset")
+    mo.save_fold_dataset(rows, modelled, saved)
     width = F.size(vector_to_array(F.col("features")))
-    return (spark.read.parquet(path).groupBy(F.col("fold").cast("int").alias("fold"), "is_valid", F.col(LABEL).cast("int").alias(LABEL))
+    return (spark.read.parquet(saved).groupBy(F.col("fold").cast("int").alias("fold"), "is_valid", F.col(LABEL).cast("int").alias(LABEL))
             .agg(F.count(F.lit(1)).alias("n_rows"), F.min(width).alias("least_features"), F.max(width).alias("most_features")))
 
 
 def q_holdout_scores(spark, sf_dir):
     """Each fold's hold-out rows under its model, from the node table cut at the best round."""
-    inp, feats, modelled, rows = _model_inputs(spark, sf_dir)
+    inp, path, modelled, rows = _model_inputs(spark, sf_dir)
     models, nodes, _ = mo.train_with_patience(spark, rows, modelled, scratch_dir(spark, "nodes"))
     out = mo.predict_nodes(models, nodes, rows.filter("is_valid"), modelled, mo.BoostParams(), [ROW_ID, LABEL], "fold")
     return out.select(F.col("model").alias("fold"), ROW_ID, LABEL, "score")
@@ -330,20 +335,20 @@ def q_holdout_scores(spark, sf_dir):
 
 def q_early_stop(spark, sf_dir):
     """Per fold: rounds trained, the round at which patience cuts its model, and the hold-out loss there."""
-    inp, feats, modelled, rows = _model_inputs(spark, sf_dir)
+    inp, path, modelled, rows = _model_inputs(spark, sf_dir)
     _, _, best = mo.train_with_patience(spark, rows, modelled, scratch_dir(spark, "nodes"))
     return best.select(F.col("model").alias("fold"), "n_rounds", "best_round", "loss")
 
 
 def q_node_scores(spark, sf_dir):
     """Hold-out rows of small models: does the node table give the score of the saved and reloaded model?"""
-    inp, feats, modelled, rows = _model_inputs(spark, sf_dir)
+    inp, path, modelled, rows = _model_inputs(spark, sf_dir)
     params = mo.BoostParams(max_iter=3, max_depth=4)
     models = mo.train_bagged_gbt(rows.filter(~F.col("is_valid")), modelled, params, validation_col=None)
-    path = scratch_dir(spark, "models")
-    mo.save_models(models, path)
-    loaded = mo.load_models(path, sorted(models))
-    nodes = reliable_checkpoint(trees.write_nodes(spark, loaded, f"{path}/nodes"))
+    saved = scratch_dir(spark, "models")
+    mo.save_models(models, saved)
+    loaded = mo.load_models(saved, sorted(models))
+    nodes = reliable_checkpoint(trees.write_nodes(spark, loaded, f"{saved}/nodes"))
     valid = rows.filter("is_valid")
     ours = mo.predict_nodes(loaded, nodes, valid, modelled, params, [ROW_ID], "fold").withColumnsRenamed({"model": "fold", "score": "ours"})
     theirs = mo.holdout_scores(loaded, rows, modelled)
@@ -354,16 +359,16 @@ def q_node_scores(spark, sf_dir):
 
 def q_cross_validate(spark, sf_dir):
     """Fold 0 cross-validated: mean AUC after every round, and the best round."""
-    inp, feats, modelled, rows = _model_inputs(spark, sf_dir)
+    inp, path, modelled, rows = _model_inputs(spark, sf_dir)
     fold0 = rows.filter(F.col("fold") == 0)
     out = mo.cross_validate(fold0, modelled, scratch_dir(spark, "cv"), n_folds=5)
     return out.select(F.lit(0).alias("fold"), F.lit(5).alias("cv_folds"), "round", "mean_auc", "n_models", "is_best")
 
 
 def q_predict_ensemble(spark, sf_dir):
-    inp, feats, modelled, rows = _model_inputs(spark, sf_dir)
+    inp, path, modelled, rows = _model_inputs(spark, sf_dir)
     models, nodes, _ = mo.train_with_patience(spark, rows, modelled, scratch_dir(spark, "nodes"))
-    test = test_feature_set(map_test_ids(inp.test, inp.partial), feats, modelled)
+    test = _test_rows(inp, path, modelled)
     return mo.ensemble_mean(mo.predict_nodes(models, nodes, test, modelled, mo.BoostParams()))
 
 
