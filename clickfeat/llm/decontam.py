@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
-Numbers, names (capitalised words inside a sentence) and units (after a number) become typed placeholders, other
-words are lower-cased, punctuation goes. A document leaks an item when they share windows of template words and the
+Numbers (also number words), names (capitalised words, at the start of a sentence too unless they are ordinary
+openers) and units (after a number) become typed placeholders, other words are lower-cased, punctuation goes. A document leaks an item when they share windows of template words and the
 slots agree: the values behind equal placeholders must map one to one (all the same: a copy; others, one to one: a
 question with new parameters).
 
@@ -11,8 +11,8 @@ question with new parameters).
    every place.
 2. Only documents with a hit are cut into all windows, joined with the items', and their slots compared.
 
-What stands before an item decides whether its first word is a name (or a unit) in a document: windows of documents
-that begin with such a placeholder also count with the word itself. Items of fewer than ``LEAST_WORDS`` template words
+What stands before an item decides whether its first word is capitalised (or a unit) in a document: windows of documents
+that begin with such a placeholder also count with the word itself, and so does an item's first window. Items of fewer than ``LEAST_WORDS`` template words
 have no template to speak of: they leak into documents that hold their raw words in a row (one window, coverage 1), an
 item of one word into documents that are this word alone, or that hold it if it is in a script without spaces.
 
@@ -39,13 +39,31 @@ NUM, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 # Unit words.
 UNITS = ("mm cm m km kg g mg l ml s sec seconds min minutes h hours days weeks months years miles feet inches pounds "
          "dollars euros cents percent degrees usd eur kmh mph watts volts")
+# Number words (English, German, French, Spanish; without those that are articles or pronouns too).
+NUMBER_WORDS = ("zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+                "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million "
+                "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig hundert tausend "
+                "deux trois quatre cinq sept huit neuf dix onze douze vingt trente quarante cinquante cent mille "
+                "dos tres cuatro cinco seis siete ocho nueve diez once doce veinte treinta cuarenta cincuenta cien mil")
+# Words that open sentences and are no names (the same languages).
+OPENERS = ("the a an this that these those it he she they we you there here what which who whose when where why how if in on at by for from with "
+           "as of to and or but so not no yes one is are was were do does did has have had can could will would let each every some any all both many "
+           "after before while then his her its their our my your find given suppose write name explain choose "
+           "der die das ein eine einer dem den des es er sie wir ihr ich was welche welcher wer wann wo warum wie wenn im auf an am bei für von mit als zu "
+           "zum und oder aber nicht kein keine ist sind war hat wird nach vor "
+           "le la les un une du ce cette ces il elle ils nous vous on que quel quelle qui quand où pourquoi comment si dans sur par pour avec et ou mais est "
+           "el los las una este esta estos qué cuál quién cuándo dónde cómo en por para con y o pero son se su lo")
 _NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
-_NAME = r"(?<=[\p{Ll},;]\s)\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}])"
+_WORD_END = r"(?![\p{L}\p{M}])"
+_NUMBER_WORD = rf"(?<![\p{{L}}\p{{M}}])(?iu:{'|'.join(dict.fromkeys(NUMBER_WORDS.split()))}){_WORD_END}"
+_OPENER = "|".join(w.capitalize() for w in dict.fromkeys(OPENERS.split()))
+_NAME = rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?=\p{{Lu}})(?!(?:{_OPENER}){_WORD_END})\p{{Lu}}[\p{{Ll}}\p{{M}}]+{_WORD_END}"
 
 
 def template_words(text: Column) -> Column:
     """The template of a text as an array of words and placeholders."""
-    t = F.regexp_replace(text, _NAME, f" {NAME} ")
+    t = F.regexp_replace(text, _NUMBER_WORD, f" {NUM} ")
+    t = F.regexp_replace(t, _NAME, f" {NAME} ")
     t = F.regexp_replace(t, _NUMBER, f" {NUM} ")
     t = F.regexp_replace(t, f"(?<={NUM} {{1,3}})(?:{'|'.join(UNITS.split())})(?![\\p{{L}}\\p{{M}}])", f" {UNIT} ")
     return F.filter(F.split(F.lower(t), f"[^\\p{{L}}\\p{{M}}{NUM}{NAME}{UNIT}]+"), lambda w: w != "")
@@ -194,8 +212,14 @@ def leaking_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, stride
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     item_windows = None
     for n in sizes:
+        cut = windows(F.col("t"), n)
+        open_ = F.element_at("t", 1).isin(NAME, UNIT)
+        word = F.xxhash64(F.concat(F.array(F.lower(F.element_at("raw", 1))), F.slice("t", 2, n - 1)))
+        read = F.transform(cut, lambda h, i: F.struct(i.alias("at"), h.alias("hash")))
+        both = F.when(open_, F.concat(read, F.array(F.struct(F.lit(0).alias("at"), word.alias("hash"))))).otherwise(read)
         part = items.filter(F.col("size") == n).select(
-            "item_id", "item_print", "size", F.size(windows(F.col("t"), n)).alias("n_windows"), F.posexplode(windows(F.col("t"), n)).alias("at", "hash"))
+            "item_id", "item_print", "size", F.size(cut).alias("n_windows"), F.explode(both).alias("w")).select(
+            "item_id", "item_print", "size", "n_windows", "w.at", "w.hash")
         item_windows = part if item_windows is None else item_windows.union(part)
     schema = ("doc_id long, item_id long, n_windows int, n_found long, coverage double, n_slots long, n_changed long, "
               "consistent boolean, leaked boolean, print long")
