@@ -3,7 +3,7 @@
 The automaton (built once from the templates, a fixed small table) recognises every run of words of any template.
 A text streams through it: after each word it knows the longest run ending there that stands in some template, and
 in which ones. Runs that cannot grow are the maximal matches; per template, matches in order with small gaps are
-chained into spans, and a template whose words are covered to ``COVER`` gives its label. Only runs of words known
+chained into spans, and a template whose words are covered to ``COVER`` gives its label unless a rival covers the same place better. Only runs of words known
 to a template enter the automaton, so other text costs a hash lookup per word.
 
 Base phrases are exact places of short word sequences. Odd input: null or empty texts have no words, no labels
@@ -27,22 +27,56 @@ WORD_BYTES[0x80:] = True
 # Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Short notices of common licences and their labels.
+# Passages of common licences and their labels. A licence of several passages has one template for each.
+_CREATIVE = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives",
+             "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+_GNU = {"gpl": "GNU General Public License", "lgpl": "GNU Lesser General Public License", "agpl": "GNU Affero General Public License"}
+_SPDX = ("MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "GPL-2.0-only",
+         "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-only", "AGPL-3.0-only", "AGPL-3.0-or-later")
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+                   "AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific "
+                   "language governing permissions and limitations under the License."),
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
             "documentation files"),
+    ("mit", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+            "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+            "subject to the following conditions"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+            "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE "
+            "FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION "
+            "WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+            "the above copyright notice and this permission notice appear in all copies."),
+    ("isc", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES "
+            "OF MERCHANTABILITY AND FITNESS."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
             "the following conditions are met"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+            "documentation and/or other materials provided with the distribution."),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+                     "from this software without specific prior written permission."),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-            "the Free Software Foundation"),
+    *((label, f"you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation")
+      for label, name in _GNU.items()),
+    *((label, f"but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} "
+              "for more details.") for label, name in _GNU.items()),
+    *((label, f"You should have received a copy of the {name} along with this program") for label, name in _GNU.items()),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    *((f"cc-{k}-4.0", f"This work is licensed under a Creative Commons {name} 4.0 International License") for k, name in _CREATIVE.items()),
+    *((f"cc-{k}-4.0", f"Licensed under CC {k.upper()} 4.0") for k in _CREATIVE if k != "by-nc"),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mpl-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+                  "binary, for any purpose, commercial or non-commercial, and by any means."),
+    *((name.lower(), f"SPDX-License-Identifier: {name}") for name in _SPDX),
 )
 
 #: Least words of a match, largest gap between chained matches, share of a template that gives its label.
@@ -62,12 +96,12 @@ def hash_of(word: bytes) -> np.uint64:
 
 
 class Automaton:
-    """Suffix automaton of several sequences; ``ends[state]``: template -> where in it the state's runs end first."""
+    """Suffix automaton of several sequences; ``ends[state]``: template -> all places in it where the state's runs end."""
 
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[dict[int, list[int]]] = [{}]
         for t, seq in enumerate(sequences):
             last = 0
             for x in seq:
@@ -76,8 +110,8 @@ class Automaton:
             for i, x in enumerate(seq):
                 state = self.next[state][x]
                 up = state
-                while up > 0 and t not in self.ends[up]:
-                    self.ends[up][t] = i
+                while up > 0:
+                    self.ends[up].setdefault(t, []).append(i)
                     up = self.link[up]
 
     def _state(self, length, nxt, link):
@@ -89,7 +123,7 @@ class Automaton:
 
     def _split(self, p, x, q):
         copy = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q])
-        self.ends[copy] = dict(self.ends[q])
+        self.ends[copy] = {t: list(at) for t, at in self.ends[q].items()}
         self.link[q] = copy
         while p >= 0 and self.next[p].get(x) == q:
             self.next[p][x] = copy
@@ -142,23 +176,41 @@ class Scanner:
         return np.where(self.keys[at] == h, self.ids[at], -1)
 
     def spans(self, found: list[tuple[int, int, int]]):
-        """(label, first word, end word, share of the template) of chained matches."""
-        by: dict[int, list[tuple[int, int, int]]] = {}
+        """(label, first word, end word, share of the template, matched words) of chained matches.
+
+        A match may stand at several places of a template: a chain goes on at the first of them after its last one.
+        """
+        by: dict[int, list[tuple[int, int, list[int]]]] = {}
         for start, size, state in found:
-            for t, end in self.automaton.ends[state].items():
-                by.setdefault(t, []).append((start, size, end - size + 1))
+            for t, ends in self.automaton.ends[state].items():
+                by.setdefault(t, []).append((start, size, [e - size + 1 for e in ends]))
         out = []
         for t, ms in by.items():
-            chain: list[tuple[int, int, int]] = []
+            chain: list[tuple[int, int, int]] = []  # start, words, place in the template
             for m in [*sorted(ms), None]:
-                if chain and m and 0 <= m[0] - chain[-1][0] - chain[-1][1] <= MAX_GAP and m[2] >= chain[-1][2] + chain[-1][1]:
-                    chain.append(m)
-                    continue
+                if chain and m and 0 <= m[0] - chain[-1][0] - chain[-1][1] <= MAX_GAP:
+                    place = next((p for p in m[2] if p >= chain[-1][2] + chain[-1][1]), None)
+                    if place is not None:
+                        chain.append((m[0], m[1], place))
+                        continue
                 if chain:
-                    out.append((self.labels[t], chain[0][0], chain[-1][0] + chain[-1][1], sum(c[1] for c in chain) / self.sizes[t]))
-                chain = [m] if m else []
+                    words = sum(c[1] for c in chain)
+                    out.append((self.labels[t], chain[0][0], chain[-1][0] + chain[-1][1], words / self.sizes[t], words))
+                chain = [(m[0], m[1], m[2][0])] if m else []
         return out
 
+    def labelled(self, found: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, str]], float]:
+        """Spans that give their label, and the best share. Of two spans of which one lies mostly in the other the one with
+        more matched words counts (then the larger share): a passage is not labelled by a licence that it only resembles."""
+        spans = self.spans(found)
+        good = sorted((s for s in spans if s[3] >= COVER), key=lambda s: (-s[4], -s[3], s[1], s[0]))
+        kept: list[tuple] = []
+        for s in good:
+            rivals = [k for k in kept if 2 * (min(k[2], s[2]) - max(k[1], s[1])) > s[2] - s[1] and k[0] != s[0]]
+            if not any((k[4], k[3]) > (s[4], s[3]) for k in rivals):
+                kept.append(s)
+        return sorted({(s[1], s[2], s[0]) for s in kept}), max([0.0, *(min(1.0, s[3]) for s in spans)])
+
 
 _OUT = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
         "score double, spans string")
@@ -203,10 +255,9 @@ def _scan(scanner: Scanner):
                         found.setdefault(d, []).append((int(s - w.first[d]) + m[0], m[1], m[2]))
                 labels, scores, texts = [], [], []
                 for d in range(n_docs):
-                    spans = scanner.spans(found[d]) if d in found else []
-                    good = sorted({(a, b, name) for name, a, b, share in spans if share >= COVER})
+                    good, best = scanner.labelled(found[d]) if d in found else ([], 0.0)
                     labels.append(",".join(sorted(base_labels[d] | {name for _, _, name in good})))
-                    scores.append(max([0.5 if base_labels[d] else 0.0, *(min(1.0, s[3]) for s in spans)]))
+                    scores.append(max(0.5 if base_labels[d] else 0.0, best))
                     texts.append(",".join(f"{name}:{a}:{b}" for a, b, name in good))
                 none = n_base == 0
                 yield pa.record_batch({

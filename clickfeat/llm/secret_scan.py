@@ -119,6 +119,10 @@ def candidates(rows: DataFrame, key: list[str], rules) -> DataFrame:
     return met.filter("n = size").groupBy(*key).agg(F.collect_set("kind").alias("rules"))
 
 
+#: Matches of a rule whose spans are added to one array at a time.
+SPAN_BLOCK = 256
+
+
 def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     """Spans of one rule as array<struct<start, rank, end, kind>>."""
     pattern = F.lit(rule.pattern)
@@ -129,7 +133,7 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
                          F.transform(whole, lambda m: F.length(m).cast("long")).alias("size"),
                          F.transform(tested, lambda m: F.length(m) >= rule.least).alias("good"))
     span = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(span).alias("out"))
+    reach = lambda m: m["gap"] + m["size"]
 
     def add(acc, m):
         begin = acc["at"] + m["gap"]
@@ -137,7 +141,22 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
         one = F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind")))
         return F.struct(end.alias("at"), F.when(m["good"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(found, start, add, lambda a: a["out"])).otherwise(F.array().cast(span))
+    def of_block(z):
+        return F.aggregate(z["block"], F.struct(z["from"].alias("at"), F.array().cast(span).alias("out")), add, lambda a: a["out"])
+
+    def placed(matches):
+        # blocks of matches, so that no array grows by one match at a time over a whole text
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / SPAN_BLOCK).cast("int")), lambda k: F.slice(matches, k * SPAN_BLOCK + 1, F.lit(SPAN_BLOCK)))
+        return F.transform(F.array(blocks), offsets)[0]
+
+    def offsets(blocks):
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda a, m: a + reach(m)))
+        before = F.aggregate(sums, F.array(F.lit(0).cast("long")), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        pairs = F.arrays_zip(blocks.alias("block"), F.slice(before, F.lit(1), F.size(blocks)).alias("from"))
+        return F.flatten(F.transform(pairs, of_block))
+
+    spans = F.transform(F.array(found), placed)[0]
+    return F.when(text.rlike(rule.pattern), spans).otherwise(F.array().cast(span))
 
 
 def joined(spans: Column) -> Column:
@@ -152,8 +171,8 @@ def find_secrets(docs: DataFrame, base=BASE_RULES, more=MORE_RULES) -> DataFrame
     rows = docs.withColumns({id_: F.col("doc_id"), text: F.coalesce(F.col("text").cast("string"), F.lit(""))}).withColumn(
         print_, F.xxhash64(text))
     slim = rows.select(id_, print_, F.col(text).alias("text"))
-    found = candidates(slim, [id_, print_], rules).select(F.col(id_).alias("k1"), F.col(print_).alias("k2"), F.col("rules").alias(f"{prefix}rules"))
-    both = rows.join(found, F.col(id_).eqNullSafe(F.col("k1")) & (F.col(print_) == F.col("k2")), "left").drop("k1", "k2")
+    found = candidates(slim, [id_, print_], rules).select(F.col(id_).alias(f"{prefix}k1"), F.col(print_).alias(f"{prefix}k2"), F.col("rules").alias(f"{prefix}rules"))
+    both = rows.join(found, F.col(id_).eqNullSafe(F.col(f"{prefix}k1")) & (F.col(print_) == F.col(f"{prefix}k2")), "left").drop(f"{prefix}k1", f"{prefix}k2")
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
 
     def of(some, first):
