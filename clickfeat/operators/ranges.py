@@ -22,8 +22,8 @@ def check_range(back, fwd) -> tuple[int, int]:
     return back, fwd
 
 
-def in_range(value: Column, keys, time_col: str, back: int, fwd: int) -> Column:
-    """Sum of ``value`` over the group's rows with time in ``[t + back, t + fwd]``.
+def in_range(keys, time_col: str, back: int, fwd: int, value: Column | None = None) -> Column:
+    """Rows of the group (or the sum of their ``value``) with time in ``[t + back, t + fwd]``.
 
     The difference of two sums that only grow along the group (up to ``t + fwd``, and up to just before ``t + back``),
     so a group costs its rows once, however many of them a range holds; a frame with two moving ends would be added up
@@ -31,8 +31,11 @@ def in_range(value: Column, keys, time_col: str, back: int, fwd: int) -> Column:
     them, and a row without has them all in its first.
     """
     w = Window.partitionBy(*keys).orderBy(time_col)
-    upto = F.sum(value).over(w.rangeBetween(Window.unboundedPreceding, fwd))
-    before = F.sum(value).over(w.rangeBetween(Window.unboundedPreceding, back - 1))
+    added = F.count(F.lit(1)) if value is None else F.sum(value)
+    upto = added.over(w.rangeBetween(Window.unboundedPreceding, fwd))
+    if value is None and back == 0:
+        return upto - F.rank().over(w) + 1  # a row's rank less one: the rows before its second (none for rows without time)
+    before = added.over(w.rangeBetween(Window.unboundedPreceding, back - 1))
     return F.when(F.col(time_col).isNull(), upto).otherwise(upto - F.coalesce(before, F.lit(0)))
 
 
@@ -46,7 +49,7 @@ def _range_feature(combo, back, fwd, time_col, dtype) -> KeyedFeature:
     name = range_count_name(combo, back, fwd)
 
     def window_plan():
-        return WindowPlan(ranged=[(name, null_key_guard(combo, in_range(F.lit(1), combo, time_col, back, fwd)).cast(dtype))])
+        return WindowPlan(ranged=[(name, null_key_guard(combo, in_range(combo, time_col, back, fwd)).cast(dtype))])
 
     def apply_second(df: DataFrame, base: DataFrame, profile: KeyProfile) -> DataFrame:
         # clicks per (keys, second) first; the same sums over that table are
@@ -54,7 +57,7 @@ def _range_feature(combo, back, fwd, time_col, dtype) -> KeyedFeature:
         tag = "__r_" + "_".join(combo) + f"_{-back}_{fwd}"
         n, total = tag + "_n", tag + "_total"
         per_second = (base.groupBy(*combo, time_col).agg(F.count(F.lit(1)).alias(n))
-                      .select(*combo, time_col, in_range(F.col(n), combo, time_col, back, fwd).alias(total)))
+                      .select(*combo, time_col, in_range(combo, time_col, back, fwd, F.col(n)).alias(total)))
         # null times are peers of each other, as in the window plan; null keys match nothing
         keys = {c: f"{tag}_{i}" for i, c in enumerate((*combo, time_col))}
         side = maybe_broadcast(per_second.withColumnsRenamed(keys), profile, combo, True)
@@ -97,7 +100,7 @@ def count_in_range_for(probes: DataFrame, events: DataFrame, keys, back: int = -
     ev = events.select(*keys, time_col, F.lit(1).cast("long").alias(n), F.lit(False).alias("__probe"))
     pr = probes.select(*keys, time_col, F.lit(0).cast("long").alias(n), F.lit(True).alias("__probe"))
     per_second = ev.unionByName(pr).groupBy(*keys, time_col).agg(F.sum(n).alias(n), F.max("__probe").alias("__probe"))
-    counted = per_second.select(*keys, time_col, "__probe", in_range(F.col(n), keys, time_col, back, fwd).alias("__total")).filter("__probe")
+    counted = per_second.select(*keys, time_col, "__probe", in_range(keys, time_col, back, fwd, F.col(n)).alias("__total")).filter("__probe")
     other = {c: f"__key_{i}" for i, c in enumerate((*keys, time_col))}
     side = counted.drop("__probe").withColumnsRenamed(other)
     same = probes[time_col].eqNullSafe(side[other[time_col]])

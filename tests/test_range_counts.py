@@ -70,6 +70,7 @@ def test_a_dense_group_costs_its_rows_once(spark):
 
 def test_frames_only_grow(spark):
     df = spark.createDataFrame([(1, 1, 1)], "row_id long, ip long, click_time_int_seconds int")
-    plan = count_in_range(df, [("ip",)], 0, 3600, profile=forced_profile("window"))._jdf.queryExecution().optimizedPlan().toString()
-    assert "RangeFrame, unboundedpreceding$(), 3600" in plan and "RangeFrame, unboundedpreceding$(), -1" in plan
-    assert "RangeFrame, currentrow$()" not in plan
+    for (back, fwd), second in (((0, 3600), "rank("), ((-60, 3600), "RangeFrame, unboundedpreceding$(), -61")):
+        plan = count_in_range(df, [("ip",)], back, fwd, profile=forced_profile("window"))._jdf.queryExecution().optimizedPlan().toString()
+        assert "RangeFrame, unboundedpreceding$(), 3600" in plan and second in plan
+        assert "RangeFrame, currentrow$()" not in plan
