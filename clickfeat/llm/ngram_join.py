@@ -11,14 +11,21 @@ Two documents link when ``100 * overlap >= threshold * union`` of their distinct
    unless a document is made of little else.
    Sizes and places in the order bound what a pair can still share; short columns drop pairs below that bound
    at once, long ones (thousands of near copies) only pair each class with their smallest.
-3. *Blocks.* Only texts of classes in a pair are shuffled: a bitmap of fixed size keeps the others out. Classes
-   with the same smallest partner form a block (split by hash beyond ``BLOCK_ROWS`` rows, the smallest class in
-   each part). A task multiplies a block's rows with their transpose: overlap counts are accumulated per row
-   with ``bincount`` over the columns, and pairs below the bound of their two sizes are discarded.
-4. *Rest.* Links are contracted to components. Every pair of classes that still shares a candidate column
-   across two components, and that passes the bound by sizes and position in the order, is multiplied
+3. *Signatures.* Each class has ``SIGNATURE_WORDS`` x 64 bits: the parities of its shingles by hash cell. Two sets
+   differ in at least as many shingles as their parities differ in bits, and two that link differ in at most
+   ``(100 - t) / (100 + t)`` of their joint size, so pairs beyond that are never written or tested. Documents made of
+   the same few passages share columns with most others, but fall out here without a look at their texts.
+4. *Blocks.* Only texts of classes in a pair are shuffled: a bitmap of fixed size keeps the others out. Classes
+   with the same smallest partner form a block (split by hash beyond ``BLOCK_ROWS`` rows or ``BLOCK_CELLS`` entries, the
+   smallest class in each part). A task multiplies a block's rows with their transpose: overlap counts are accumulated
+   per row with ``bincount`` over the columns, and pairs below the bound of their two sizes are discarded.
+5. *Rest.* Links are contracted to components. Every pair of classes that still shares a candidate column
+   across two components, and that passes the bounds by sizes, position in the order and signatures, is multiplied
    exactly too. After that no link can be missing, and copies were never expanded into all pairs.
 
+A column is counted by an aggregate, not by a window: no task holds a column. Columns of one class only are dropped
+before their entries are shuffled, behind a bitmap of fixed size.
+
 Shingles are 64-bit hashes. Null or wordless texts are linked with nothing; a null id sorts after all ids
 (a component of null ids only has a null id); repeated rows each keep their row.
 """
@@ -28,7 +35,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
 from . import textops as tx
 from .common import as_bytes, documents, fingerprint, written
@@ -36,8 +42,10 @@ from .common import as_bytes, documents, fingerprint, written
 SHINGLE_WORDS = 5
 THRESHOLD = 80
 SKETCH_BITS = 22
-#: Rows of one block of the product.
-BLOCK_ROWS = 256
+#: Rows and entries (shingles) of one block of the product; one larger row stands with the smallest class only.
+BLOCK_ROWS, BLOCK_CELLS = 256, 1 << 21
+#: 64-bit words of a class's signature.
+SIGNATURE_WORDS = 32
 #: Columns of at most so many entries give all their pairs at once; longer ones go through blocks first.
 SHORT_COLUMN = 64
 #: Bits of the filter that keeps rows of unasked keys out of a shuffle (4 MB whatever the input).
@@ -73,6 +81,13 @@ def _class_of(s: np.ndarray) -> int:
     return int(tx.mix(np.array([a & 0xFFFFFFFFFFFFFFFF], np.uint64)).view(np.int64)[0])
 
 
+def _signature(s: np.ndarray) -> np.ndarray:
+    """Parities of the shingles of a set by hash cell, as whole numbers of 64 bits."""
+    bits = 64 * SIGNATURE_WORDS
+    cell = ((s >> _U(40)) & _U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _batches(batches, k):
     with np.errstate(over="ignore"):
         for batch in batches:
@@ -80,7 +95,8 @@ def _batches(batches, k):
                 yield batch, lo, hi, list(_sets(data, offsets, k))
 
 
-_DOC_SCHEMA = pa.schema([("doc_id", pa.int64()), ("print", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64())])
+_DOC_SCHEMA = pa.schema([("doc_id", pa.int64()), ("print", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()),
+                         ("signature", pa.list_(pa.int64()))])
 
 
 def _classes(k):
@@ -88,7 +104,9 @@ def _classes(k):
         for batch, lo, hi, sets in _batches(batches, k):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(lo, hi - lo), batch.column("print").slice(lo, hi - lo),
-                 pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) for s in sets], pa.int64())], schema=_DOC_SCHEMA)
+                 pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) for s in sets], pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SIGNATURE_WORDS),
+                                          pa.array(np.concatenate([_signature(s) for s in sets])))], schema=_DOC_SCHEMA)
     return run
 
 
@@ -132,10 +150,12 @@ def frequency_levels(docs: DataFrame, k: int, bits: int) -> np.ndarray:
 _POSTING = pa.schema([("gram", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
 
 
-def _prefixes(k, threshold, levels, bits):
+def _prefixes(k, threshold, levels, bits, wanted=None):
+    """Entries of candidate columns; with ``wanted`` (a bitmap of columns) only of those that may be in it."""
     def run(batches):
         seen: set[int] = set()
         rank = levels.value
+        mark = None if wanted is None else wanted.value
         for _, _, _, sets in _batches(batches, k):
             grams, clss, ns, ats = [], [], [], []
             for s in sets:
@@ -147,11 +167,15 @@ def _prefixes(k, threshold, levels, bits):
                     seen.add(c)
                 m = n - -(-threshold * n // 100) + 1
                 lv = rank[s & _U((1 << bits) - 1)]
-                o = np.lexsort((s, lv))[:m]
-                grams.append(s[o])
-                clss.append(np.full(m, c))
-                ns.append(np.full(m, n, np.int32))
-                ats.append(np.arange(m, dtype=np.int32))
+                g, at = s[np.lexsort((s, lv))[:m]], np.arange(m, dtype=np.int32)
+                if mark is not None:
+                    spot = (g & _U((1 << FILTER_BITS) - 1)).astype(np.int64)
+                    at = at[(mark[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1]
+                    g = g[at]
+                grams.append(g)
+                clss.append(np.full(len(g), c))
+                ns.append(np.full(len(g), n, np.int32))
+                ats.append(at)
             if grams:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(clss)),
                                                   pa.array(np.concatenate(ns)), pa.array(np.concatenate(ats))], schema=_POSTING)
@@ -251,6 +275,18 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         labels = nxt.select("cls", "label")
 
 
+def column_bitmap(columns: DataFrame) -> np.ndarray:
+    """Bits of the low ``FILTER_BITS`` bits of every ``gram`` (4 MB whatever the input)."""
+    spot = F.col("gram").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1
+    pieces = columns.groupBy(F.bitmap_bucket_number(spot).alias("piece")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits"))
+    out = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    for p in pieces.collect():
+        bits = np.frombuffer(p["bits"], np.uint8)
+        out[(p["piece"] - 1) * len(bits):p["piece"] * len(bits)] = bits
+    return out
+
+
 def asked_only(rows: DataFrame, key: list[str], asked: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """Rows of ``rows`` whose ``key`` may be one of ``asked``: all that are, and few others while ``asked`` has fewer than 2^bits keys.
 
@@ -272,7 +308,9 @@ def component_rows(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THR
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(tx.NULL_ID)).alias("doc_id"), as_bytes(), fingerprint().alias("print"))
     texts = rows.select("text")
-    member = written(rows.mapInArrow(_classes(k), "doc_id long, print long, n_shingles long, cls long"), "join-classes")
+    member = written(rows.mapInArrow(_classes(k), "doc_id long, print long, n_shingles long, cls long, signature array<long>"), "join-classes")
+    signed = written(member.filter("n_shingles > 0").select("cls", F.col("n_shingles").alias("size"), "signature").dropDuplicates(["cls"]),
+                     "join-signatures")
     # one row stands for its class: the smallest id, with the fingerprint of its text as ids can be repeated
     heads = member.filter("n_shingles > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "print")).alias("first")).select(
         "cls", F.col("first.doc_id").alias("head"), F.col("first.print").alias("print"))
@@ -284,26 +322,37 @@ def component_rows(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THR
         return asked_only(rows, row, need).dropDuplicates(row).join(need, row).select(*asked.columns, "text")
 
     levels = spark.sparkContext.broadcast(frequency_levels(texts, k, sketch_bits))
-    postings = texts.mapInArrow(_prefixes(k, threshold, levels, sketch_bits), "gram long, cls long, n int, at int")
-    column = Window.partitionBy("gram")
-    shared = written(postings.select("*", F.min("cls").over(column).alias("least"), F.max("cls").over(column).alias("most"),
-                                     F.count("*").over(column).alias("rows")).filter("least != most").drop("most").distinct(), "join-columns")
+    entry = "gram long, cls long, n int, at int"
+    columns = written(texts.mapInArrow(_prefixes(k, threshold, levels, sketch_bits), entry).groupBy("gram").agg(
+        F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("rows")).filter("least != most").drop("most"), "join-columns")
+    wanted = spark.sparkContext.broadcast(column_bitmap(columns))
+    shared = written(texts.mapInArrow(_prefixes(k, threshold, levels, sketch_bits, wanted), entry).distinct().join(columns, "gram"), "join-entries")
 
     def within(x, y):
         """Cells of two classes in one column that the sizes and the places in the order allow to be linked."""
         return F.expr(f"{x}.gram = {y}.gram and {x}.cls < {y}.cls and 100 * least({x}.n, {y}.n) >= {threshold} * greatest({x}.n, {y}.n) "
                       f"and least({x}.n - {x}.at, {y}.n - {y}.at) * {100 + threshold} >= {threshold} * ({x}.n + {y}.n)")
 
+    # sets whose parities differ in more bits than linked sets differ in shingles are not linked
+    bits = " + ".join(f"bit_count(a_signature[{i}] ^ b_signature[{i}])" for i in range(SIGNATURE_WORDS))
+    alike = F.expr(f"({bits}) * {100 + threshold} <= (a_size + b_size) * {100 - threshold}")
+
+    def sign(df, c):
+        """``df`` with size and signature of the class in its column ``c``."""
+        return df.join(signed.select(F.col("cls").alias(c), F.col("size").alias(f"{c}_size"), F.col("signature").alias(f"{c}_signature")), c)
+
     # short columns give their few pairs at once; a long one only pairs its classes with its smallest
     short = shared.filter(F.col("rows") <= SHORT_COLUMN)
-    few = short.alias("x").join(short.alias("y"), within("x", "y")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    few = short.alias("x").join(short.alias("y"), within("x", "y")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    few = sign(sign(few, "a"), "b").filter(alike).select("a", "b")
     star = shared.filter((F.col("rows") > SHORT_COLUMN) & (F.col("least") != F.col("cls"))).select(F.col("least").alias("a"), F.col("cls").alias("b"))
     near = written(few.union(star).distinct(), "join-pairs")
 
     # blocks: each class joins the block of its smallest partner; a block's head stands in each of its parts
     edge = near.select(F.col("b").alias("cls"), F.col("a").alias("block")).union(near.select(F.col("a"), F.col("a")))
     block = edge.groupBy("cls").agg(F.min("block").alias("block"))
-    parts = block.groupBy("block").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
+    parts = block.join(signed.select("cls", "size"), "cls").groupBy("block").agg(
+        F.ceil(F.greatest(F.count("*") / block_rows, F.sum("size") / BLOCK_CELLS)).alias("parts"))
     placed = written(block.join(parts, "block").select("block", "cls", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part")), "join-places")
     leads = parts.select("block", F.col("block").alias("cls"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     rows_of = texts_of(placed.union(leads.select("block", "cls", "part")).distinct())
@@ -326,8 +375,9 @@ def component_rows(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THR
         "gram", "cls", "n", "at", F.coalesce("label", "cls").alias("label"))
     span = long.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("gram")
     open_ = long.join(span, "gram")
-    across = open_.alias("x").join(open_.alias("y"), within("x", "y") & F.expr("x.label != y.label")).select(
-        F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    x = sign(open_.withColumnRenamed("cls", "a"), "a").withColumn("cls", F.col("a"))
+    y = sign(open_.withColumnRenamed("cls", "b"), "b").withColumn("cls", F.col("b"))
+    across = x.alias("x").join(y.alias("y"), within("x", "y") & F.expr("x.label != y.label") & alike).select("a", "b")
     pairs = written(rest.union(across).distinct(), "join-open")
     both = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     sets = written(texts_of(both).mapInArrow(_set_rows(k), "cls long, n int, grams binary"), "join-sets")

@@ -3,9 +3,11 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +109,50 @@ def test_op7_shared_and_null_ids(spark):
     same(ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect(), components_by_force(rows))
 
 
+@pytest.mark.parametrize("short", [4, 64])
+def test_op7_few_candidates_among_documents_of_the_same_passages(spark, monkeypatch, short):
+    """Most pairs share columns, few link: pairs that are written or tested stay in proportion to the documents."""
+    rng = random.Random(5)
+    passages = [" ".join(f"p{p}_{i}" for i in range(45)) for p in range(20)]
+    rows = [(i, " ".join(passages[p] for p in sorted(rng.sample(range(20), 12)))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + f" own tail of number {i}") for i in range(0, 300, 10)]
+    wrote = collections.Counter()
+
+    def counted(df, name):
+        out = written(df, name)
+        wrote[name] += out.count()
+        return out
+    monkeypatch.setattr(ngram_join, "SHORT_COLUMN", short)
+    monkeypatch.setattr(ngram_join, "written", counted)
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    same(got, components_by_force(rows))
+    assert wrote["join-open"] < 10 * len(rows) and wrote["join-pairs"] < 10 * len(rows), wrote
+
+
+def test_op7_signatures_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 300, 4000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.union1d(a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64))
+        bits = sum(int(x).bit_count() for x in (ngram_join._signature(a) ^ ngram_join._signature(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b))
+        assert not (ngram_join._signature(a) ^ ngram_join._signature(a[::-1])).any()
+
+
+def test_op7_bitmap_marks_all_columns(spark):
+    grams = [0, 1, -1, 32767, 32768, (1 << 25) - 1, 1 << 25, -(1 << 63), 123456789123]
+    mark = ngram_join.column_bitmap(spark.createDataFrame([(g,) for g in grams], "gram long"))
+    spots = {g & ((1 << 25) - 1) for g in grams}
+    assert set(np.flatnonzero(np.unpackbits(mark, bitorder="little")).tolist()) == spots
+    assert not ngram_join.column_bitmap(spark.createDataFrame([], "gram long")).any()
+
+
+def test_op7_blocks_bounded_by_entries(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_CELLS", 100)
+    rows = [(i, " ".join(f"w{j}" if j != i % 37 else f"x{i}" for j in range(60))) for i in range(60)]
+    same(ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect(), components_by_force(rows))
+
+
 def test_op7_filter_keeps_all_asked_and_few_others(spark):
     rows = spark.range(-20_000, 20_000).selectExpr("id as doc_id", "id * 7 as print")
     asked = rows.filter("doc_id % 50 = 0")
