@@ -119,8 +119,8 @@ def _sketch_counts(k, bits):
     def run(batches):
         total = np.zeros(1 << bits, np.uint32)
         for _, _, _, sets in _batches(batches, k):
-            if sets:
-                total += np.bincount(np.concatenate(sets) & _U((1 << bits) - 1), minlength=1 << bits).astype(np.uint32)
+            cell, n = np.unique((np.concatenate(sets) & _U((1 << bits) - 1)).astype(np.uint32), return_counts=True)
+            total[cell] += n.astype(np.uint32)
         if total.any():
             pieces = range(0, 1 << bits, _PIECE)
             yield pa.RecordBatch.from_arrays([pa.array([p // _PIECE for p in pieces], pa.int32()),
@@ -262,14 +262,15 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
     Min-label spreading with pointer jumping; each round is written to the shared folder.
     """
-    both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), name)
-    labels = written(both.groupBy(F.col("a").alias("cls")).agg(F.least(F.min("b"), F.first("a")).alias("label")), name)
+    ends = links.select(F.explode(F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb")))).alias("e"))
+    both = written(ends.select("e.a", "e.b").distinct(), name)
+    labels = written(both.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("label")), name)
     while True:
-        near = both.join(labels, both["b"] == labels["cls"]).groupBy(F.col("a").alias("cls")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "cls").select("cls", F.least("label", "near").alias("step"), F.col("label").alias("old"))
+        # the edge of a class to itself brings its own label along
+        step = both.join(labels, both["b"] == labels["cls"]).groupBy("a").agg(
+            F.min("label").alias("step"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("old"))
         up = labels.select(F.col("cls").alias("step"), F.col("label").alias("up"))
-        nxt = written(step.join(up, "step", "left").select(
-            "cls", F.least("step", F.coalesce("up", "step")).alias("label"), "old"), name)
+        nxt = written(step.join(up, "step").select(F.col("a").alias("cls"), F.least("step", "up").alias("label"), "old"), name)
         if not nxt.filter("label != old").limit(1).count():
             return nxt.select("cls", "label")
         labels = nxt.select("cls", "label")
@@ -384,10 +385,13 @@ def component_rows(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THR
     tested = pairs.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("x")), "a").join(
         sets.select(F.col("cls").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
     more = written(tested.mapInArrow(_pair_product(threshold), "a long, b long").distinct(), "join-rest")
-    if more.limit(1).count():
-        labels = components(links.union(more))
-
     of_class = heads.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    if more.limit(1).count():
+        # these links join whole components: only their labels go through the rounds again
+        over = more.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left").select(
+            F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+        root = components(over).select(F.col("cls").alias("label"), F.col("label").alias("root"))
+        of_class = of_class.join(root, "label", "left").withColumn("label", F.coalesce("root", "label"))
     least = of_class.groupBy("label").agg(F.min(F.struct("head", "print")).alias("least")).select(
         "label", F.col("least.head").alias("component"), F.col("least.print").alias("least_print"))
     answer = of_class.join(least, "label").select("cls", "component", "least_print")
