@@ -54,8 +54,13 @@ def get(uri: str, name: str, shard: int, kind) -> np.ndarray:
         return np.memmap(copy, kind, "r")
 
 
+#: Shards that a lookup holds mapped (each array of a shard takes a file descriptor and a map).
+OPEN_SHARDS = 48
+
+
 class Lookup:
-    """Values of sorted keys that are dealt to shards by ``shard_of``; shards are mapped when first asked for.
+    """Values of sorted keys that are dealt to shards by ``shard_of``; shards are mapped when asked for, in their order,
+    and at most ``OPEN_SHARDS`` stay mapped (those asked for last), however many the store has.
 
     ``starts``: the number of keys in the shards before each one; with it, ``id`` is a key's place among all.
     """
@@ -65,9 +70,11 @@ class Lookup:
         self._open: dict[int, tuple] = {}
 
     def shard(self, s: int):
-        if s not in self._open:
-            self._open[s] = (get(self.uri, self.key, s, np.uint64), {n: get(self.uri, n, s, k) for n, k in self.values.items()})
-        return self._open[s]
+        arrays = self._open.pop(s, None) or (get(self.uri, self.key, s, np.uint64), {n: get(self.uri, n, s, k) for n, k in self.values.items()})
+        while len(self._open) >= OPEN_SHARDS:
+            del self._open[next(iter(self._open))]
+        self._open[s] = arrays
+        return arrays
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """(found mask, values by name, 0 where not found) of each key; distinct keys are looked up once, in order."""

@@ -328,6 +328,8 @@ def component_rows(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THR
         F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("rows")).filter("least != most").drop("most"), "join-columns")
     wanted = spark.sparkContext.broadcast(column_bitmap(columns))
     shared = written(texts.mapInArrow(_prefixes(k, threshold, levels, sketch_bits, wanted), entry).distinct().join(columns, "gram"), "join-entries")
+    levels.unpersist()
+    wanted.unpersist()
 
     def within(x, y):
         """Cells of two classes in one column that the sizes and the places in the order allow to be linked."""

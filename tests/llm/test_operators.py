@@ -5,13 +5,15 @@ import hashlib
 import math
 import random
 import re
+import resource
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clickfeat.llm import cube_mix, decontam, kn_lm, license_scan, ngram_join, quality_gam, quality_rules, secret_scan, substring_dedup, toxic_cnn
+from clickfeat.llm import arraystore, cube_mix, decontam, kn_lm, license_scan, ngram_join, quality_gam, quality_rules, secret_scan, substring_dedup, toxic_cnn
+from clickfeat.llm import textops as tx
 from clickfeat.llm.common import documents, written
 from clickfeat.llm.learning import labels
 
@@ -161,6 +163,28 @@ def test_op7_filter_keeps_all_asked_and_few_others(spark):
     assert ngram_join.asked_only(rows, ["doc_id", "print"], asked.filter("false")).count() == 0
 
 
+def test_array_store_with_many_shards_and_few_descriptors(tmp_path):
+    """5,000 shards of two arrays, looked up twice by a process that may have 256 files open."""
+    shards, store = 5_000, tmp_path.as_uri()
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 12_000, dtype=np.uint64) * np.uint64(2))
+    deal = lambda k: tx.shard_of(k, shards)
+    for s in np.unique(deal(keys)):
+        own = keys[deal(keys) == s]
+        arraystore.put(store, "key", int(s), own)
+        arraystore.put(store, "value", int(s), (own % np.uint64(1009)).astype(np.int64))
+    limits = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (256, limits[1]))
+    try:
+        look = arraystore.Lookup(store, "key", {"value": np.int64}, shards, deal)
+        asked = np.concatenate([keys, keys + np.uint64(1)])
+        for _ in range(2):
+            found, out = look.find(asked)
+            assert found[:len(keys)].all() and not found[len(keys):].any()
+            assert (out["value"][:len(keys)] == keys % np.uint64(1009)).all() and not out["value"][len(keys):].any()
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, limits)
+
+
 def test_op6_matches_brute_force(docs):
     rows = [(d, [*(t or "").encode().lower().split(), None]) for d, t in rows_of(docs)]
     held = [zlib.crc32(str(d).encode() if d is not None else b"") % 10 == 0 for d, _ in rows]
