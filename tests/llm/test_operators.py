@@ -478,3 +478,18 @@ def test_pipeline_decides_row_by_row(spark, tmp_path):
     fs = {(None, words("f")), (None, words("f") + " on")}
     rest = [r for r in dict.fromkeys(had) if r not in copies | fs]
     assert [r for r in got if r not in fs] == sorted(rest, key=key) and sum(r in fs for r in got) == 1
+
+
+def test_op3_learns_from_all_labelled_rows_in_shards(spark, monkeypatch):
+    """Counts, model and thresholds come from every labelled row, however many shards they fill and however long a text is."""
+    text = lambda i: f"{'vile' if i % 2 else 'kind'} w{i % 50} " * (60_000 if i == 9 else 20)
+    ids = [i for i in range(1, 1600) if not learns_not(i)]
+    docs = spark.createDataFrame([(i, text(i), "en") for i in range(1, 1600)] * 2, "doc_id long, text string, lang string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(1, 1600)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxic_cnn, "SHARD_BYTES", 200_000)
+    trained = toxic_cnn.train(docs, known)
+    assert trained["n_texts"] == len(ids) and trained["learnt"] and set(trained["thresholds"]) == {"en"}
+    out = toxic_cnn.toxicity(docs, known).collect()
+    assert len(out) == 2 * 1599 and all(r["predicted"] == r["doc_id"] % 2 == r["flagged"] for r in out)
+    again = toxic_cnn.train(docs.repartition(3), known)
+    assert (again["model"], again["threshold"]) == (trained["model"], trained["threshold"])
