@@ -50,3 +50,24 @@ def test_bursts_and_many_groups_are_not_sliced(spark, clicks):
     feats = gap_features(ALL)
     assert len(keyed.sliceable(feats, {f.combo: None for f in feats}, counted, 8)) == len(ALL)
     assert len(keyed.sliceable(feats, {f.combo: None for f in feats}, counted, 10**6)) < len(ALL)
+
+
+def test_one_root_beside_slices_takes_repeated_row_ids(spark, clicks):
+    """Only branches of several roots need row ids of their own; slices beside one root do not."""
+    from pyspark.sql import Window
+    df = clicks.withColumn("ip", (F.col("row_id") % 300).cast("int"))
+    combos = [("ip",), ("app",), ("device", "os")]
+    for part in (df, df.union(df)):
+        profile = profile_keys(part, ("ip", *KEYS), hot_rows=part.count() // 2, min_root_distinct=250)
+        assert profile.roots(combos) == {("ip",): ("ip",), ("app",): None, ("device", "os"): None}
+        got = click_gaps(part, combos, "forward", wrap_days=False, profile=profile)
+        t, want = F.col("click_time_int_seconds"), part
+        for c in combos:
+            gap = F.lead(t).over(Window.partitionBy(*c).orderBy(t, "row_id")) - t
+            want = want.withColumn("_".join(c) + "_gap", F.when(F.concat(*c).isNotNull(), gap).cast("float"))
+        # of rows with equal ids and times either may be the earlier one, so each feature is compared by itself
+        assert got.count() == part.count()
+        for c in combos:
+            name = next(n for n in got.columns if n.startswith("_".join(c) + "_") and n not in part.columns)
+            values = [sorted((str(r[0]) for r in df_.select(n).collect())) for df_, n in ((got, name), (want, "_".join(c) + "_gap"))]
+            assert values[0] == values[1]
