@@ -47,6 +47,8 @@ TABLE_BITS, DIM, WIDTHS, FILTERS = 18, 6, (1, 2, 3), 4
 #: Keys in fewer sample texts have no vector.
 LEAST_DOCS = 4
 EPOCHS, BATCH, BATCH_WORDS, RATE = 8, 64, 200_000, 0.1
+#: Bytes of text scored at a time, about: a byte takes up to some 150 in between.
+SCORE_BYTES = 1 << 18
 #: Log odds of a unit that has learnt nothing: below any cutoff.
 UNTRAINED = -30.0
 PREFIXES = (4, 6)
@@ -294,9 +296,9 @@ def calibrate(scores: np.ndarray, y: np.ndarray, langs: list, cutoff: float = CU
 
 def _score_rows(model):
     def run(batches):
-        scorer = Scorer(pickle.loads(model if isinstance(model, bytes) else model.value))
+        scorer = Scorer(_unpacked(model if isinstance(model, bytes) else model.value))
         for batch in batches:
-            for lo, hi, data, offsets in tx.text_chunks(batch):
+            for lo, hi, data, offsets in tx.text_chunks(batch, limit=SCORE_BYTES):
                 s = scorer(data, offsets)
                 yield pa.record_batch({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "held_out": batch.column("held_out").slice(lo, hi - lo),
                                        "lang": batch.column("lang").slice(lo, hi - lo), "print": batch.column("print").slice(lo, hi - lo),
@@ -315,11 +317,11 @@ def _trained(texts: list[bytes], y: np.ndarray, langs: list) -> dict:
     by_lang, other = calibrate(scores, y[rest], [langs[i] for i in rest])
     del scorer, model
     last = fit(texts, y)
-    return {"model": pickle.dumps(last), "learnt": last["last"] > UNTRAINED, "thresholds": by_lang, "threshold": other, "n_texts": len(texts)}
+    return {"model": _packed(last), "learnt": last["last"] > UNTRAINED, "thresholds": by_lang, "threshold": other, "n_texts": len(texts)}
 
 
 def _train_task(batches):
-    """The whole (bounded) sample in one task: one row with the pickled model and the thresholds."""
+    """The whole (bounded) sample in one task: one row with the packed model and the thresholds."""
     rows = [(i, t, g, y) for batch in batches for i, t, g, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang", "label")))]
     if not rows:
         return
@@ -361,7 +363,7 @@ def _owner_task(pos: float, neg: float):
 
 
 def _packed(model: dict) -> bytes:
-    """A model between rounds; cells without an owner have no vector that a text could ask for."""
+    """A model on its way; cells without an owner have no vector that a text could ask for."""
     model["embed"][model["signs"] == 0] = 0
     return zlib.compress(pickle.dumps(model), 1)
 
@@ -446,7 +448,7 @@ def _calibrated(rows: DataFrame, model: bytes) -> tuple[dict, float]:
     """Thresholds from all rows of the quarter that ``model`` has not seen: counted by language, label and cell of a grid over
     the log odds, so that the driver holds a bounded table whatever their number."""
     held = rows.filter("part = 0").select("doc_id", F.lit(True).alias("held_out"), "lang", F.col("label").cast("long").alias("print"), "text")
-    common = rows.sparkSession.sparkContext.broadcast(pickle.dumps(_unpacked(model)))
+    common = rows.sparkSession.sparkContext.broadcast(model)
     scored = held.mapInArrow(_score_rows(common), "doc_id long, held_out boolean, lang string, print long, score double")
     odds = F.log(F.greatest("score", F.lit(1e-13)) / F.greatest(1 - F.col("score"), F.lit(1e-13)))
     at = F.floor((odds + 30) / 60 * GRID).cast("int")
@@ -466,9 +468,8 @@ def _trained_in_shards(rows: DataFrame) -> dict:
                  F.sum(F.when(learns, F.col("label")).otherwise(0)).alias("pos3")).first()
     model = _fit_shards(rows.filter(learns), counts, "n3", "bad3", int(n["pos3"]), int(n["n3"] - n["pos3"]))
     by_lang, other = _calibrated(rows, model)
-    last = _fit_shards(rows, counts, "n", "bad", int(n["pos"]), int(n["n"] - n["pos"]))
-    last = _unpacked(last)
-    return {"model": pickle.dumps(last), "learnt": last["last"] > UNTRAINED, "thresholds": by_lang, "threshold": other, "n_texts": n["n"]}
+    last = _fit_shards(rows, counts, "n", "bad", int(n["pos"]), int(n["n"] - n["pos"]))  # stays packed on the driver
+    return {"model": last, "learnt": 0 < n["pos"] < n["n"], "thresholds": by_lang, "threshold": other, "n_texts": n["n"]}
 
 
 def _train_alone(rows: DataFrame) -> dict:

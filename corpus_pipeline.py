@@ -24,7 +24,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clickfeat.llm.common import documents, fingerprint, remove, scratch
+from clickfeat.llm.common import documents, fingerprint, remove, scratch, small_batches
 from clickfeat.llm.cube_mix import mix_sources
 from clickfeat.llm.decontam import leaking_rows
 from clickfeat.llm.learning import labels
@@ -36,9 +36,10 @@ KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _own_names(stage):
-    """``stage`` with all columns but the known ones under generated names."""
+    """``stage`` with all columns but the known ones under generated names, its texts in small batches."""
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
         held = [c if c in KNOWN else f"__other_{i}" for i, c in enumerate(docs.columns)]
         out = stage(spark, docs.toDF(*held), sf_dir)
         new = [c for c in out.columns if c not in held]
