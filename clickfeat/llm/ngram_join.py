@@ -24,7 +24,8 @@ Two documents link when ``100 * overlap >= threshold * union`` of their distinct
    exactly too. After that no link can be missing, and copies were never expanded into all pairs.
 
 A column is counted by an aggregate, not by a window: no task holds a column. Columns of one class only are dropped
-before their entries are shuffled, behind a bitmap of fixed size.
+before their entries are shuffled, behind a bitmap of fixed size. Tables that grow with the input are joined by sort and
+merge at any size, so the driver builds and holds no copy of one while it is small.
 
 Shingles are 64-bit hashes. Null or wordless texts are linked with nothing; a null id sorts after all ids
 (a component of null ids only has a null id); repeated rows each keep their row.
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textops as tx
-from .common import as_bytes, documents, fingerprint, written
+from .common import as_bytes, documents, fingerprint, merged, written
 
 SHINGLE_WORDS = 5
 THRESHOLD = 80
@@ -267,10 +268,10 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     labels = written(both.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("label")), name)
     while True:
         # the edge of a class to itself brings its own label along
-        step = both.join(labels, both["b"] == labels["cls"]).groupBy("a").agg(
+        step = both.join(merged(labels), both["b"] == labels["cls"]).groupBy("a").agg(
             F.min("label").alias("step"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("old"))
         up = labels.select(F.col("cls").alias("step"), F.col("label").alias("up"))
-        nxt = written(step.join(up, "step").select(F.col("a").alias("cls"), F.least("step", "up").alias("label"), "old"), name)
+        nxt = written(step.join(merged(up), "step").select(F.col("a").alias("cls"), F.least("step", "up").alias("label"), "old"), name)
         if not nxt.filter("label != old").limit(1).count():
             return nxt.select("cls", "label")
         labels = nxt.select("cls", "label")
@@ -318,18 +319,19 @@ def component_rows(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THR
 
     def texts_of(asked: DataFrame) -> DataFrame:
         """``asked`` (cls, ...) with the text of each class; other texts are not shuffled."""
-        need = written(asked.join(heads, "cls").withColumnRenamed("head", "doc_id"), "join-asked")
+        need = written(asked.join(merged(heads), "cls").withColumnRenamed("head", "doc_id"), "join-asked")
         row = ["doc_id", "print"]
-        return asked_only(rows, row, need).dropDuplicates(row).join(need, row).select(*asked.columns, "text")
+        return asked_only(rows, row, need).dropDuplicates(row).join(merged(need), row).select(*asked.columns, "text")
 
     levels = spark.sparkContext.broadcast(frequency_levels(texts, k, sketch_bits))
     entry = "gram long, cls long, n int, at int"
     columns = written(texts.mapInArrow(_prefixes(k, threshold, levels, sketch_bits), entry).groupBy("gram").agg(
         F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("rows")).filter("least != most").drop("most"), "join-columns")
     wanted = spark.sparkContext.broadcast(column_bitmap(columns))
-    shared = written(texts.mapInArrow(_prefixes(k, threshold, levels, sketch_bits, wanted), entry).distinct().join(columns, "gram"), "join-entries")
-    levels.unpersist()
-    wanted.unpersist()
+    shared = written(texts.mapInArrow(_prefixes(k, threshold, levels, sketch_bits, wanted), entry).distinct().join(merged(columns), "gram"), "join-entries")
+    # all that read them is written: the driver holds no copy either
+    levels.destroy()
+    wanted.destroy()
 
     def within(x, y):
         """Cells of two classes in one column that the sizes and the places in the order allow to be linked."""
@@ -342,11 +344,11 @@ def component_rows(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THR
 
     def sign(df, c):
         """``df`` with size and signature of the class in its column ``c``."""
-        return df.join(signed.select(F.col("cls").alias(c), F.col("size").alias(f"{c}_size"), F.col("signature").alias(f"{c}_signature")), c)
+        return df.join(merged(signed.select(F.col("cls").alias(c), F.col("size").alias(f"{c}_size"), F.col("signature").alias(f"{c}_signature"))), c)
 
     # short columns give their few pairs at once; a long one only pairs its classes with its smallest
     short = shared.filter(F.col("rows") <= SHORT_COLUMN)
-    few = short.alias("x").join(short.alias("y"), within("x", "y")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    few = short.alias("x").join(merged(short.alias("y")), within("x", "y")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
     few = sign(sign(few, "a"), "b").filter(alike).select("a", "b")
     star = shared.filter((F.col("rows") > SHORT_COLUMN) & (F.col("least") != F.col("cls"))).select(F.col("least").alias("a"), F.col("cls").alias("b"))
     near = written(few.union(star).distinct(), "join-pairs")
@@ -354,9 +356,9 @@ def component_rows(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THR
     # blocks: each class joins the block of its smallest partner; a block's head stands in each of its parts
     edge = near.select(F.col("b").alias("cls"), F.col("a").alias("block")).union(near.select(F.col("a"), F.col("a")))
     block = edge.groupBy("cls").agg(F.min("block").alias("block"))
-    parts = block.join(signed.select("cls", "size"), "cls").groupBy("block").agg(
+    parts = block.join(merged(signed.select("cls", "size")), "cls").groupBy("block").agg(
         F.ceil(F.greatest(F.count("*") / block_rows, F.sum("size") / BLOCK_CELLS)).alias("parts"))
-    placed = written(block.join(parts, "block").select("block", "cls", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part")), "join-places")
+    placed = written(block.join(merged(parts), "block").select("block", "cls", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part")), "join-places")
     leads = parts.select("block", F.col("block").alias("cls"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     rows_of = texts_of(placed.union(leads.select("block", "cls", "part")).distinct())
     links = written(rows_of.groupBy("block", "part").applyInArrow(_product(k, threshold), "a long, b long"), "join-links")
@@ -364,42 +366,43 @@ def component_rows(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THR
 
     # the remaining cells: pairs across components that share a candidate column within the bounds
     def label_of(c):
-        return labels.select(F.col("cls").alias(c), F.col("label").alias(f"{c}_label"))
+        return merged(labels.select(F.col("cls").alias(c), F.col("label").alias(f"{c}_label")))
 
     def spot_of(c):
-        return placed.select(F.col("cls").alias(c), F.col("block").alias(f"{c}_block"), F.col("part").alias(f"{c}_part"))
+        return merged(placed.select(F.col("cls").alias(c), F.col("block").alias(f"{c}_block"), F.col("part").alias(f"{c}_part")))
 
     # pairs of one block part, or of a block and its head, are cells of the product already
     apart = (F.coalesce("a_label", "a") != F.coalesce("b_label", "b")) & (F.col("a_block") != F.col("b")) & (F.col("b_block") != F.col("a")) & (
         (F.col("a_block") != F.col("b_block")) | (F.col("a_part") != F.col("b_part")))
     rest = near.join(spot_of("a"), "a").join(spot_of("b"), "b").join(label_of("a"), "a", "left").join(
         label_of("b"), "b", "left").filter(apart).select("a", "b")
-    long = shared.filter(F.col("rows") > SHORT_COLUMN).join(labels, "cls", "left").select(
+    long = shared.filter(F.col("rows") > SHORT_COLUMN).join(merged(labels), "cls", "left").select(
         "gram", "cls", "n", "at", F.coalesce("label", "cls").alias("label"))
     span = long.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("gram")
-    open_ = long.join(span, "gram")
+    open_ = written(long.join(merged(span), "gram"), "join-long")  # read as either side below
     x = sign(open_.withColumnRenamed("cls", "a"), "a").withColumn("cls", F.col("a"))
     y = sign(open_.withColumnRenamed("cls", "b"), "b").withColumn("cls", F.col("b"))
-    across = x.alias("x").join(y.alias("y"), within("x", "y") & F.expr("x.label != y.label") & alike).select("a", "b")
+    across = x.alias("x").join(merged(y.alias("y")), within("x", "y") & F.expr("x.label != y.label") & alike).select("a", "b")
     pairs = written(rest.union(across).distinct(), "join-open")
     both = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     sets = written(texts_of(both).mapInArrow(_set_rows(k), "cls long, n int, grams binary"), "join-sets")
-    tested = pairs.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("x")), "a").join(
-        sets.select(F.col("cls").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
+    tested = pairs.join(merged(sets.select(F.col("cls").alias("a"), F.col("grams").alias("x"))), "a").join(
+        merged(sets.select(F.col("cls").alias("b"), F.col("grams").alias("y"))), "b").select("a", "b", "x", "y")
     more = written(tested.mapInArrow(_pair_product(threshold), "a long, b long").distinct(), "join-rest")
-    of_class = heads.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    of_class = heads.join(merged(labels), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     if more.limit(1).count():
         # these links join whole components: only their labels go through the rounds again
         over = more.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left").select(
             F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
         root = components(over).select(F.col("cls").alias("label"), F.col("label").alias("root"))
-        of_class = of_class.join(root, "label", "left").withColumn("label", F.coalesce("root", "label"))
+        of_class = of_class.join(merged(root), "label", "left").withColumn("label", F.coalesce("root", "label"))
+    of_class = written(of_class.select("cls", "head", "print", "label"), "join-labels")  # read twice below
     least = of_class.groupBy("label").agg(F.min(F.struct("head", "print")).alias("least")).select(
         "label", F.col("least.head").alias("component"), F.col("least.print").alias("least_print"))
-    answer = of_class.join(least, "label").select("cls", "component", "least_print")
+    answer = of_class.join(merged(least), "label").select("cls", "component", "least_print")
     wordless = F.col("n_shingles") == 0
     null_safe = lambda c: F.when(c != F.lit(tx.NULL_ID), c)
-    return member.join(answer, "cls", "left").select(
+    return member.join(merged(answer), "cls", "left").select(
         null_safe(F.col("doc_id")).alias("doc_id"), "n_shingles",
         null_safe(F.when(wordless, F.col("doc_id")).otherwise(F.col("component"))).alias("component_id"), "print",
         (wordless | ((F.col("doc_id") == F.col("component")) & (F.col("print") == F.col("least_print")))).alias("first"))

@@ -24,7 +24,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clickfeat.llm.common import documents, fingerprint, remove, scratch, small_batches
+from clickfeat.llm.common import documents, fingerprint, remove, scratch, small_batches, written
 from clickfeat.llm.cube_mix import mix_sources
 from clickfeat.llm.decontam import leaking_rows
 from clickfeat.llm.learning import labels
@@ -73,8 +73,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = component_rows(docs).filter("n_shingles > 0")
     # one row per id and text that is a copy, or that several rows share
-    verdict = found.groupBy(F.col("doc_id").alias("_id"), F.col("print").alias("_of")).agg(
-        F.max(~F.col("first")).alias("_copy"), (F.count("*") > 1).alias("_shared")).filter("_copy or _shared")
+    verdict = written(found.groupBy(F.col("doc_id").alias("_id"), F.col("print").alias("_of")).agg(
+        F.max(~F.col("first")).alias("_copy"), (F.count("*") > 1).alias("_shared")).filter("_copy or _shared"), "pipeline-copies")
     rows = docs.join(verdict, _same(docs), "left").filter("not coalesce(_copy, false)")
     once = rows.filter("_shared").dropDuplicates(["_id", "_of"])
     return rows.filter("_shared is null").select(*docs.columns).unionByName(once.select(*docs.columns))
