@@ -25,7 +25,8 @@ Two documents link when ``100 * overlap >= threshold * union`` of their distinct
 
 A column is counted by an aggregate, not by a window: no task holds a column. Columns of one class only are dropped
 before their entries are shuffled, behind a bitmap of fixed size. Tables that grow with the input are joined by sort and
-merge at any size, so the driver builds and holds no copy of one while it is small.
+merge at any size, so the driver builds and holds no copy of one while it is small; joins with a sum by a key that many
+classes may share (block, column, component) are left to Spark, as it can not split such a key in a merge join.
 
 Shingles are 64-bit hashes. Null or wordless texts are linked with nothing; a null id sorts after all ids
 (a component of null ids only has a null id); repeated rows each keep their row.
@@ -358,7 +359,7 @@ def component_rows(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THR
     block = edge.groupBy("cls").agg(F.min("block").alias("block"))
     parts = block.join(merged(signed.select("cls", "size")), "cls").groupBy("block").agg(
         F.ceil(F.greatest(F.count("*") / block_rows, F.sum("size") / BLOCK_CELLS)).alias("parts"))
-    placed = written(block.join(merged(parts), "block").select("block", "cls", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part")), "join-places")
+    placed = written(block.join(parts, "block").select("block", "cls", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part")), "join-places")
     leads = parts.select("block", F.col("block").alias("cls"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     rows_of = texts_of(placed.union(leads.select("block", "cls", "part")).distinct())
     links = written(rows_of.groupBy("block", "part").applyInArrow(_product(k, threshold), "a long, b long"), "join-links")
@@ -379,7 +380,7 @@ def component_rows(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THR
     long = shared.filter(F.col("rows") > SHORT_COLUMN).join(merged(labels), "cls", "left").select(
         "gram", "cls", "n", "at", F.coalesce("label", "cls").alias("label"))
     span = long.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("gram")
-    open_ = written(long.join(merged(span), "gram"), "join-long")  # read as either side below
+    open_ = written(long.join(span, "gram"), "join-long")  # read as either side below
     x = sign(open_.withColumnRenamed("cls", "a"), "a").withColumn("cls", F.col("a"))
     y = sign(open_.withColumnRenamed("cls", "b"), "b").withColumn("cls", F.col("b"))
     across = x.alias("x").join(merged(y.alias("y")), within("x", "y") & F.expr("x.label != y.label") & alike).select("a", "b")
@@ -399,7 +400,7 @@ def component_rows(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THR
     of_class = written(of_class.select("cls", "head", "print", "label"), "join-labels")  # read twice below
     least = of_class.groupBy("label").agg(F.min(F.struct("head", "print")).alias("least")).select(
         "label", F.col("least.head").alias("component"), F.col("least.print").alias("least_print"))
-    answer = of_class.join(merged(least), "label").select("cls", "component", "least_print")
+    answer = of_class.join(least, "label").select("cls", "component", "least_print")
     wordless = F.col("n_shingles") == 0
     null_safe = lambda c: F.when(c != F.lit(tx.NULL_ID), c)
     return member.join(merged(answer), "cls", "left").select(

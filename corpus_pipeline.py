@@ -74,7 +74,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = component_rows(docs).filter("n_shingles > 0")
     # one row per id and text that is a copy, or that several rows share
     verdict = written(found.groupBy(F.col("doc_id").alias("_id"), F.col("print").alias("_of")).agg(
-        F.max(~F.col("first")).alias("_copy"), (F.count("*") > 1).alias("_shared")).filter("_copy or _shared"), "pipeline-copies")
+        F.max(~F.col("first")).alias("_copy"), (F.count("*") > 1).alias("_shared")).filter("_copy or _shared"), "join-copies")
     rows = docs.join(verdict, _same(docs), "left").filter("not coalesce(_copy, false)")
     once = rows.filter("_shared").dropDuplicates(["_id", "_of"])
     return rows.filter("_shared is null").select(*docs.columns).unionByName(once.select(*docs.columns))
